@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import op3_language, op5_simhash, op7_winnow, op10_packing
+from . import op3_language, op4_warc, op5_simhash, op6_license, op7_winnow, op8_chat, op9_kdtree, op10_packing
 
 QUERIES = {
     "op3_language": op3_language.op3_language,
+    "op4_warc": op4_warc.op4_warc,
     "op5_simhash": op5_simhash.op5_simhash,
+    "op6_license": op6_license.op6_license,
     "op7_winnowing": op7_winnow.op7_winnowing,
+    "op8_chat": op8_chat.op8_chat,
+    "op9_kdtree": op9_kdtree.op9_kdtree,
     "op10_packing": op10_packing.op10_packing,
 }
 SQL = {"op7_winnowing": op7_winnow.SQL}
