@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from . import op3_language, op4_warc, op5_simhash, op6_license, op7_winnow, op8_chat, op9_kdtree, op10_packing
+from . import (
+    op1_hmm,
+    op2_jpeg,
+    op3_language,
+    op4_warc,
+    op5_simhash,
+    op6_license,
+    op7_winnow,
+    op8_chat,
+    op9_kdtree,
+    op10_packing,
+)
 
 QUERIES = {
+    "op1_hmm": op1_hmm.op1_hmm,
+    "op2_jpeg": op2_jpeg.op2_jpeg,
     "op3_language": op3_language.op3_language,
     "op4_warc": op4_warc.op4_warc,
     "op5_simhash": op5_simhash.op5_simhash,
