@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_rows, table, utf8
 
-#: Blocks between restart markers, and intervals that are coded at once.
-RESTART, TOGETHER = 4, 1 << 14
+#: Blocks between restart markers, and intervals that are coded or decoded at once.
+RESTART, CODED, DECODED = 4, 1 << 12, 1 << 14
 ZRL, EOB = 0xF0, 0x00
 
 
@@ -152,10 +152,10 @@ def encode(payloads: list[bytes], comments: list[bytes]) -> list[bytes]:
         n_first += wide * high
     coef, first, closing = np.concatenate(blocks), np.concatenate(first), np.concatenate(closing)
     scans, sizes = [], []
-    for i in range(0, len(first), TOGETHER):
-        z = first[i + TOGETHER] if i + TOGETHER < len(first) else len(coef)
-        f = first[i : i + TOGETHER]
-        data, size = _code_intervals(coef[f[0] : z], f - f[0], closing[i : i + TOGETHER])
+    for i in range(0, len(first), CODED):
+        z = first[i + CODED] if i + CODED < len(first) else len(coef)
+        f = first[i : i + CODED]
+        data, size = _code_intervals(coef[f[0] : z], f - f[0], closing[i : i + CODED])
         scans.append(data)
         sizes.append(size)
     data, ends = b"".join(scans), np.r_[0, np.cumsum(np.concatenate(sizes))]
@@ -299,10 +299,10 @@ def decode(files: list[bytes]) -> list[tuple[Jpeg, np.ndarray]]:
             raise ValueError("restart markers are missing")
         data, pos = s[~drop], kept[begin] * 8
         parts = []
-        for a in range(0, len(pos), TOGETHER):
-            z = pos[a + TOGETHER] >> 3 if a + TOGETHER < len(pos) else len(data)
+        for a in range(0, len(pos), DECODED):
+            z = pos[a + DECODED] >> 3 if a + DECODED < len(pos) else len(data)
             lo = pos[a] >> 3
-            parts.append(_decode_lanes(data[lo:z], pos[a : a + TOGETHER] - lo * 8, blocks[a : a + TOGETHER], layout, tables))
+            parts.append(_decode_lanes(data[lo:z], pos[a : a + DECODED] - lo * 8, blocks[a : a + DECODED], layout, tables))
         coef, at = np.concatenate(parts), 0
         for i, m in zip(members, mcus, strict=True):
             out[i] = (parsed[i], coef[at : at + m * len(layout)])
