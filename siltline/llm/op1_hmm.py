@@ -74,7 +74,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(SENT).collect()
+    # frequent words by whole steps of a log scale, so no task sends more than its share
+    short, step = counts.where(F.octet_length("word") <= LONGEST), F.floor(F.log("c") * 32)
+    room, least = SENT, None
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    top = [] if least is None else short.where(step >= least).collect()
+    top.sort(key=lambda r: (-r.c, r.word))
     words, c = [r.word for r in top], np.array([r.c for r in top], np.float64)
     slot = F.pmod(F.xxhash64("word"), F.lit(HASHED))
     total, size = np.zeros(HASHED), np.zeros(HASHED)
