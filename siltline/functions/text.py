@@ -46,9 +46,14 @@ def keyword_normal(text: Column) -> Column:
 
 def shingles(text: Column, k: int = 5) -> Column:
     """The set of k-character substrings; shorter texts are one shingle, empty ones have none."""
-    n = F.length(text)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+    # the one-element array binds the text's characters, so they are split once
+    every = F.transform(
+        F.array(F.split(text, "")),
+        lambda c: F.array_distinct(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))
+        ),
+    )
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.get(every, F.lit(0)))
 
 
 def stable_hash(key: Column) -> Column:

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import scoring  # noqa: E402,F401
+from . import cascade, channels, reports, scoring, sites, stores  # noqa: E402,F401

@@ -66,4 +66,5 @@ EVENTS_SQL = f"log AS (SELECT {_EVENTS}, CAST(floor(epoch(ts)) AS BIGINT) AS sec
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run log: jobs, model calls and polls, one row an event."""
     cols = [F.expr(v).alias(k) for k, v in _EVENT.items()]
-    return table(spark, sf_dir, "events").select(*cols, F.col("ts").cast("long").alias("second"))
+    second = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
+    return table(spark, sf_dir, "events").select(*cols, F.expr(second).alias("second"))
