@@ -22,7 +22,7 @@ ALNUM = bytes(
 )
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds of long texts.
-BATCH_ROWS, BATCH_BYTES = "1000", "8m"
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ SLACK = 4
 #: Tasks whose bins meet in one task of the next round, and the most items a task takes.
 FAN_IN, CAP = 8, 200_000
 #: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, WORD = 300_000, 40
+REMEMBERED, WORD = 120_000, 40
 
 
 class Encoder:

@@ -29,7 +29,7 @@ SENT, LONGEST = 65536, 64
 #: Tokens of a training sequence (longer texts train in pieces) and of one numpy step.
 SEQUENCE, TOGETHER = 1024, 300_000
 #: Additive smoothing of counts, and words a worker remembers or counts before passing on.
-ADD, REMEMBERED = 0.1, 300_000
+ADD, REMEMBERED = 0.1, 200_000
 SEED = 7
 LN10 = float(np.log(10))
 

@@ -24,7 +24,7 @@ SPAN, K = 13, 5
 #: Bits of the bitmap, as a power of two: 4 MB whatever the benchmark's size.
 BITMAP = 25
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class _Hashes(dict):
