@@ -1,0 +1,249 @@
+"""Edge cases and brute-force checks of the training-data operators on small tables."""
+
+import base64
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siltline.llm import op1_hmm, op2_jpeg, op3_language, op4_warc, op5_simhash, op6_license, op7_winnow, op8_chat, op9_kdtree, op10_packing
+
+LONG = "word " * 30000 + "x" * 5000
+SCHEMA = "doc_id long, text string, lang string, fp string, score double, hit string, bin long, shard int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(1, "Hello big world of words"), (2, None), (3, ""), (4, LONG), (5, "Hello big world of words"), (5, "Hello big world of words"), (None, "été über ñandú"), (7, " \n\t"), (8, "!!! 123")]
+    return spark.createDataFrame([(i, t, "en", "a", 0.5, "b", 1, 2) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_empty_tables(spark, none):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert op2_jpeg.features(op2_jpeg.store(none)).count() == 0
+    assert op3_language.with_language(none, op3_language.train(none)).count() == 0
+    assert op5_simhash.simhash_groups(none).count() == 0 and op5_simhash.one_per_group(none).count() == 0
+    assert op6_license.licenses(none).count() == 0
+    assert op7_winnow.contamination(none, bench).count() == 0
+    assert op8_chat.digests(op8_chat.formatted(turns)).count() == 0
+    assert op9_kdtree.kd_shards(none).count() == 0
+    assert op10_packing.packed(none).count() == 0
+    path = op4_warc.fresh_path(spark, "warc")
+    op4_warc.write_archives(pages, path)
+    assert op4_warc.read_archives(spark, path).count() == 0
+    from pyspark.sql import functions as F
+
+    assert op1_hmm.lm_scores(none.withColumn("train", F.lit(True)), rounds=1).count() == 0
+
+
+def test_hmm_scores_and_counts(docs):
+    from pyspark.sql import functions as F
+
+    got = op1_hmm.lm_scores(docs.withColumn("train", F.coalesce(F.col("doc_id") != 8, F.lit(True))), rounds=2).toPandas()
+    assert len(got) == 9 and got["score"].notna().all()
+    r = got[got["doc_id"] == 2].iloc[0]
+    assert r["n_tokens"] == 1 and r["n_known"] == 1
+    assert got[got["doc_id"] == 8].iloc[0]["n_known"] == 1
+
+
+def test_forward_equals_enumeration():
+    rng = np.random.default_rng(1)
+    m = op1_hmm.Model(rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet([1] * 3, 2).T)
+    seqs = [np.array([0, 2, 1, 1]), np.array([2])]
+    for s, got in zip(seqs, op1_hmm.forward(seqs, m)):
+        total = 0.0
+        for path in np.ndindex(*[2] * len(s)):
+            p = m.start[path[0]] * m.emit[s[0], path[0]]
+            for t in range(1, len(s)):
+                p *= m.step[path[t - 1], path[t]] * m.emit[s[t], path[t]]
+            total += p
+        assert math.isclose(got, math.log(total), rel_tol=1e-12)
+    total = op1_hmm.Model(np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)))
+    op1_hmm.expected_counts(seqs, m, total)
+    assert np.isclose(total.emit.sum(), 5, atol=1e-4) and np.isclose((total.step * m.step).sum(), 3, atol=1e-4) and np.isclose(total.start.sum(), 2, atol=1e-4)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=700), min_size=1, max_size=4))
+def test_jpeg_round_trip(payloads):
+    padded = [p + bytes(64 if not p else -len(p) % 64) for p in payloads]
+    files = op2_jpeg.encode(padded, [b"%d" % len(p) for p in payloads])
+    for p, (j, coef) in zip(padded, op2_jpeg.decode(files)):
+        assert (coef.ravel()[: len(p)] + 128).astype(np.uint8).tobytes() == p
+        assert op2_jpeg.thumbnail(j, coef).shape == (j.down, j.across)
+    # runs of zero coefficients take the long-run and end-of-block codes
+    x = bytes([128]) * 64 + bytes([128] * 40 + [7] + [128] * 23)
+    assert (op2_jpeg.decode(op2_jpeg.encode([x], [b"128"]))[0][1].ravel() + 128).astype(np.uint8).tobytes() == x
+
+
+def test_jpeg_rows(docs):
+    got = op2_jpeg.features(op2_jpeg.store(docs)).toPandas()
+    assert len(got) == 9
+    r = got[got["doc_id"] == 4].iloc[0]
+    data = LONG.encode() + bytes(-len(LONG.encode()) % 64)
+    assert r["payload_sha256"] == hashlib.sha256(data).hexdigest() and r["tail_crc32"] == zlib.crc32(data[-64:])
+
+
+def test_language(spark, docs):
+    words = {"en": "the and of with that this from", "fr": "le la les des dans pour avec"}
+    rng = np.random.default_rng(0)
+    rows = [(lang, " ".join(rng.choice(w.split(), 20))) for lang, w in words.items() for _ in range(30)]
+    model = op3_language.train(spark.createDataFrame([*rows, (None, "xx"), ("en", None)], "lang string, text string"))
+    assert model[0] == ["en", "fr"]
+    ask = spark.createDataFrame([(1, "this and that"), (2, "dans les pour"), (3, None), (4, "12 !"), (5, "this and that from the of " * 5 + "dans les avec pour la des " * 5)], "doc_id int, text string")
+    got = {r.doc_id: r for r in op3_language.with_language(ask, model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "fr", "und", "und"] and got[5].n_languages == 2
+    assert [r.doc_id for r in op3_language.known_language(ask, model).orderBy("doc_id").collect()] == [1, 2, 5]
+    assert op3_language.with_language(docs, model).count() == 9
+
+
+def test_warc(spark):
+    rows = [(5, "http://a/\r\nX: y", "same"), (2, "http://b", "same"), (9, None, None), (3, "u", ""), (None, "u", "same"), (2, "http://b", "same"), (4, "u", "WARC/1.1\r\n\r\né"), (6, "u", "\r\n\r\nWARC/1.1\r\n")]
+    path = op4_warc.fresh_path(spark, "warc")
+    op4_warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = op4_warc.read_archives(spark, path).collect()
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(5, "same", 2), (2, "same", None), (9, "", 3), (3, "", None), (None, "same", 2), (2, "same", None), (4, rows[6][2], None), (6, rows[7][2], None)]
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == Counter(
+        (i, len(t.encode()), sha(t), "revisit" if f else "response", f) for i, t, f in want
+    )
+
+
+def test_trie_links_connect_what_brute_force_does():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(b)) ^ np.uint64(1 << int(c)) for b, c in rng.integers(0, 63, (30, 2))]]))
+    u, v = op5_simhash.trie_forest(np.zeros(len(fp), np.int64), fp, 4)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+
+    def label(links):
+        out = np.arange(len(fp))
+        while True:
+            new = np.where(links, out[None, :], len(fp)).min(axis=1)
+            if (new == out).all():
+                return out
+            out = new
+
+    forest = np.eye(len(fp), dtype=bool)
+    a, b = np.searchsorted(fp, u), np.searchsorted(fp, v)
+    forest[a, b] = forest[b, a] = True
+    assert (label(near) == label(forest)).all()
+
+
+def test_simhash_rows_and_slices(spark, docs):
+    got = op5_simhash.simhash_groups(docs).toPandas()
+    assert len(got) == 9 and set(got[got["doc_id"].isin([2, 3, 7])]["component_id"]) == {2}
+    assert set(got[got["doc_id"] == 5]["component_id"]) == {1}
+    kept = [r.doc_id for r in op5_simhash.one_per_group(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == [1, 2, 4, 8] and kept.count(None) == 1
+    rng = np.random.default_rng(5)
+    fps = [int(x) for x in np.unique(np.array([sum(1 << int(b) for b in rng.integers(0, 60, 3)) for _ in range(300)]))]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    sliced, whole = (op5_simhash.connected_components(op5_simhash.near_links(df, slice_rows=n)) for n in (40, 4096))
+    assert Counter(map(tuple, sliced.collect())) == Counter(map(tuple, whole.collect()))
+
+
+def test_licenses(docs):
+    scan = op6_license.scan
+    assert scan(b"Under the MIT-license; cc by nc cc by nc.")[1:6] == (3, 0, 7, "cc-by-nc,mit", "cc-by-nc,mit")
+    got = scan("É SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\n".encode())
+    assert got[5] == "bsd-3-clause,gpl-2.0-only-with-classpath-exception-2.0,mit" and got[7] is True
+    assert op6_license.postfix(["mit", "or", "isc", "and", "bsd"]) == ["mit", "isc", "bsd", "and", "or"]
+    for bad in (["and"], ["mit", "mit"], ["(", "mit"], ["mit", ")"], [], ["mit", "or"]):
+        assert op6_license.postfix(bad) is None
+    assert scan(b"license-expression: MIT is a license")[5] == "mit"
+    assert op6_license.licenses(docs).count() == 9
+
+
+def test_contamination_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate((13, 14, 30, 3, 1, 6, 25))] + [(90, None), (91, "..."), (92, "w3")]
+    texts = [" ".join(rng.choice(words + ["zz", "yy"], 60)) for _ in range(20)] + [f"zz {items[2][1].upper()} zz", items[0][1], None, "", " ".join([*items[6][1].split()[3:], "q"])]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_hit int")
+    got = {r.doc_id: r for r in op7_winnow.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        d, hit, ids = (t or "").lower().split(), set(), set()
+        for item, text in items:
+            w = [x for x in (text or "").lower().split() if x != "..."]
+            n = min(13, len(w))
+            wins = {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} if n else set()
+            at = [j for j in range(len(d) - n + 1) if n and tuple(d[j : j + n]) in wins]
+            hit |= {p for j in at for p in range(j, j + n)}
+            ids |= {str(item)} if at else set()
+        want = (len(d), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<s>/[INST]\\é|endrolxt ", max_size=40), st.text(max_size=20))
+def test_chat_escapes_reverse(a, b):
+    for t in (a, b):
+        e = op8_chat.escape(t)
+        assert op8_chat.unescape(e) == t and not op8_chat._CONTROL.search(e)
+
+
+def test_chat_rows(spark):
+    rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", None), (1, 2, "tool <|end|>", "x"), (1, 3, "assistant", "c\\"), (None, 0, None, "q"), (2, 0, "assistant", "")]
+    got = {r.conv_id: r for r in op8_chat.digests(op8_chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    want = hashlib.sha256("user\n\nassistant\nb</s>\ntool <|end|>\nx\nassistant\nc\\\n".encode()).hexdigest()
+    assert got[1].turns_sha256 == want and got[1].loss_sha256 == hashlib.sha256(b"b</s>c\\").hexdigest() and got[1].loss_chars == 7
+    assert got[None].n_turns == 1 and got[2].loss_chars == 0
+
+
+def test_shards(spark, docs):
+    assert op9_kdtree.kd_shards(docs).count() == 9
+    rows = [(i, ("copy " * 5 if i % 3 == 0 else f"text {i} " + "x" * (i % 97))) for i in range(3000)] + [(3000, None)]
+    got = op9_kdtree.kd_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() / size.mean() < 1.02
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+    by_text = got.merge(__import__("pandas").DataFrame(rows, columns=["doc_id", "text"]), on="doc_id")
+    assert (by_text[by_text["doc_id"] % 3 != 0].groupby("text")["shard"].nunique() <= 1).all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab1 \n\t.,é<|endoftext|>' ", max_size=30), min_size=1, max_size=5))
+def test_word_memory_equals_plain_encoding(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    for t, ids in zip(texts, op10_packing.encoder().encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_packing(docs):
+    got = op10_packing.packed(docs).toPandas().sort_values(["sequence_id", "offset"])
+    fill = got.groupby("sequence_id")["length"]
+    assert fill.sum().max() <= 2048 and (fill.cumsum() - got["length"] == got["offset"]).all()
+    long = got[got["doc_id"] == 4].sort_values("piece")
+    assert (long["length"].iloc[1:] == 2048).all() and (long["start"].diff().iloc[1:] == long["length"].iloc[:-1].to_numpy()).all()
+    assert set(got[got["doc_id"].isin([2, 3])]["length"]) == {1} and (got["doc_id"] == 5).sum() == 2
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    words = [f"wort{i}" for i in range(400)]
+    item = " ".join(rng.choice(words, 20))
+    text = [" ".join(rng.choice(words, 120)) for _ in range(30)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([*text, text[3], text[4] + " end", item, "12 34", None])]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert 30 not in got and not got & {32, 33, 34} and set(range(30)) <= got
