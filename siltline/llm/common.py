@@ -7,6 +7,8 @@ one task and never an inconsistent recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,6 +65,25 @@ def batched(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def tidy(run: Callable, *memories: Callable[[], None]) -> Callable:
+    """run, after whose last batch a worker gives up its memories and returns freed memory to
+    the system: workers live on between tasks, beside an executor's heap."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for forget in memories:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def by_rows(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Applies make to each Arrow batch as a dict of Python lists; a narrow, per-batch step."""
     batched(df.sparkSession)
@@ -73,7 +94,7 @@ def by_rows(df: DataFrame, make: Callable[[dict[str, list]], dict[str, list]], s
             got = make({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

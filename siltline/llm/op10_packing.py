@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, table, utf8, written
+from .common import arrow_schema, batched, table, tidy, utf8, written
 
 LIMIT = 2048
 #: Bins with at most so much room are final at once.
@@ -111,6 +111,12 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     return _encoder[path]
 
 
+def forget() -> None:
+    """Drops the worker's remembered words; its vocabulary stays."""
+    for e in _encoder.values():
+        e.known.clear()
+
+
 def best_fit(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset) of every item and the fill of every bin, best-fit in falling size."""
     room: list[list[int]] = [[] for _ in range(limit + 1)]
@@ -154,7 +160,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ddl)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run, forget), ddl)
 
 
 def _packed(df: DataFrame, size: str, limit: int, level: int, ddl: str) -> DataFrame:
@@ -183,7 +189,7 @@ def _packed(df: DataFrame, size: str, limit: int, level: int, ddl: str) -> DataF
         if held:
             yield from flush()
 
-    return df.mapInArrow(run, full)
+    return df.mapInArrow(tidy(run), full)
 
 
 def packed(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_schema, batched, held_out, table, utf8, written
+from .common import arrow_schema, batched, held_out, table, tidy, utf8, written
 
 #: States, words that are classes, hashed classes (a power of two), Baum-Welch rounds.
 STATES, OWN, HASHED, ROUNDS = 6, 4096, 1024, 4
@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return docs.select(utf8().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(utf8().alias("text")).mapInArrow(tidy(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
@@ -145,7 +145,7 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             cols += [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([])] * 6
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(tidy(run), ddl)
 
 
 class Model(NamedTuple):
@@ -264,7 +264,7 @@ def baum_welch(seqs: DataFrame, model: Model, prior: np.ndarray, rounds: int = R
             rows = np.vstack([total.emit[used], total.step * old.step, total.start[None]])
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(index), *(pa.array(rows[:, j]) for j in range(k))], schema=schema)
 
-        sums = seqs.select("classes").mapInArrow(run, ddl).groupBy("kind", "i").agg(*(F.sum(n).alias(n) for n in names))
+        sums = seqs.select("classes").mapInArrow(tidy(run), ddl).groupBy("kind", "i").agg(*(F.sum(n).alias(n) for n in names))
         got = sums.toPandas()  # at most classes + states + 1 rows
         new = Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
         for kind, into in ((0, new.emit), (1, new.step)):
@@ -303,7 +303,7 @@ def likelihoods(seqs: DataFrame, model: Model) -> DataFrame:
         for c in list(held):
             yield flush(c)
 
-    return seqs.select("rid", "classes").mapInArrow(run, "rid long, like double")
+    return seqs.select("rid", "classes").mapInArrow(tidy(run), "rid long, like double")
 
 
 def lm_scores(docs: DataFrame, train: str = "train", rounds: int = ROUNDS) -> DataFrame:

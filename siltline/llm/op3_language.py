@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, held_out, table, utf8, written
+from .common import arrow_schema, batched, held_out, table, tidy, utf8, written
 
 #: Trigram buckets as a power of two; the model is languages x buckets.
 BUCKETS = 15
@@ -69,7 +69,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     rows = docs.where("lang is not null and text is not null").select("lang", utf8().alias("text"))
-    counts = written(rows.mapInArrow(run, ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counts = written(rows.mapInArrow(tidy(run), ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     langs = [r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
@@ -153,7 +153,7 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
             cols = [pa.array([langs[i] for i in best]), pa.array(score), pa.array(m, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, schema)), *cols], schema=schema)
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(tidy(run), ddl)
 
 
 def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = 1 / 3) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, by_rows, fresh_path, table, utf8, written
+from .common import arrow_schema, batched, by_rows, fresh_path, table, tidy, utf8, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that an archive file should have.
@@ -134,7 +134,7 @@ def read_archives(spark: SparkSession, path: str, kind: str = "long") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    got = files.mapInArrow(run, ddl)
+    got = files.mapInArrow(tidy(run), ddl)
     return got.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import arrow_schema, batched, by_rows, discard, table, utf8, written
+from .common import arrow_schema, batched, by_rows, discard, table, tidy, utf8, written
 from .components import connected_components
 
 #: Bit widths of the six blocks, from the most significant bit.
@@ -158,7 +158,7 @@ def _keys(fps: DataFrame, blocks: tuple[int, ...], agree: int) -> DataFrame:
                     key = (key << np.uint64(blocks[p])) | part[p]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], ["key", "fp"])
 
-    return fps.mapInArrow(run, "key long, fp long")
+    return fps.mapInArrow(tidy(run), "key long, fp long")
 
 
 def near_links(fps: DataFrame, budget: int = 4, blocks: tuple[int, ...] = BLOCKS, slice_rows: int = SLICE) -> DataFrame:
@@ -191,7 +191,7 @@ def near_links(fps: DataFrame, budget: int = 4, blocks: tuple[int, ...] = BLOCKS
             u, v = trie_forest(np.r_[0, np.cumsum(new)], fp.view(np.uint64), budget)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
-    return whole.union(cut).repartition("key", "p", "q").mapInArrow(run, "u long, v long")
+    return whole.union(cut).repartition("key", "p", "q").mapInArrow(tidy(run), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, k: int = 4, budget: int = 4) -> DataFrame:

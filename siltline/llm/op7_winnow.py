@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ALNUM, arrow_schema, batched, table, utf8, written
+from .common import ALNUM, arrow_schema, batched, table, tidy, utf8, written
 
 SPAN, K = 13, 5
 #: Bits of the bitmap, as a power of two: 4 MB whatever the benchmark's size.
@@ -122,7 +122,7 @@ def _items(benchmark: DataFrame, lengths: list[int], span: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     src = benchmark.select(F.col("item_id").cast("string"), utf8().alias("text"))
-    return src.mapInArrow(run, f"item_id string, {FOUND}")
+    return src.mapInArrow(tidy(run, _seen.clear), f"item_id string, {FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(found, schema.field(3).type)], schema=schema)
 
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
-    scanned = written(src.mapInArrow(run, ddl), "scanned")
+    scanned = written(src.mapInArrow(tidy(run, _seen.clear), ddl), "scanned")
     cand = scanned.select("doc_id", "text_hash", F.inline("found"))
     pairs = cand.join(items.withColumnRenamed("left", "other").withColumnRenamed("context", "theirs"), ["fp", "n"])
     out = f"doc_id {kind}, text_hash long, spans array<struct<s: int, e: int>>, items array<string>"
@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
 
-    hits = pairs.select("doc_id", "text_hash", "n", "left", "context", "at", "other", "theirs", "items").mapInArrow(extend, out)
+    hits = pairs.select("doc_id", "text_hash", "n", "left", "context", "at", "other", "theirs", "items").mapInArrow(tidy(extend), out)
     hits = hits.groupBy("doc_id", "text_hash").agg(
         F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, table
+from .common import arrow_schema, batched, table, tidy
 from .op10_packing import encoder
 
 #: Reserved ids follow the vocabulary's 50,257 in this order.
@@ -95,7 +95,7 @@ def formatted(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    coded = turns.select("conv_id", "turn", empty("role"), empty("text")).mapInArrow(encode, ddl)
+    coded = turns.select("conv_id", "turn", empty("role"), empty("text")).mapInArrow(tidy(encode), ddl)
     ordered = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn", "text")
     out_ddl = f"conv_id {kind}, part int, ids binary, mask binary"
     out = arrow_schema(out_ddl)
@@ -125,7 +125,7 @@ def formatted(turns: DataFrame) -> DataFrame:
         if part >= 0:
             yield flush()
 
-    return ordered.mapInArrow(assemble, out_ddl)
+    return ordered.mapInArrow(tidy(assemble), out_ddl)
 
 
 def digests(parts: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def digests(parts: DataFrame) -> DataFrame:
         if state:
             yield row()
 
-    return parts.mapInArrow(run, ddl)
+    return parts.mapInArrow(tidy(run), ddl)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
