@@ -36,6 +36,11 @@ class _Hashes(dict):
 _seen = _Hashes()
 
 
+def forget() -> None:
+    """Drops the worker's remembered words."""
+    _seen.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_seen) > REMEMBERED:
         _seen.clear()
@@ -122,7 +127,7 @@ def _items(benchmark: DataFrame, lengths: list[int], span: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     src = benchmark.select(F.col("item_id").cast("string"), utf8().alias("text"))
-    return src.mapInArrow(tidy(run, _seen.clear), f"item_id string, {FOUND}")
+    return src.mapInArrow(tidy(run, forget), f"item_id string, {FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
@@ -160,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(found, schema.field(3).type)], schema=schema)
 
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
-    scanned = written(src.mapInArrow(tidy(run, _seen.clear), ddl), "scanned")
+    scanned = written(src.mapInArrow(tidy(run, forget), ddl), "scanned")
     cand = scanned.select("doc_id", "text_hash", F.inline("found"))
     pairs = cand.join(items.withColumnRenamed("left", "other").withColumnRenamed("context", "theirs"), ["fp", "n"])
     out = f"doc_id {kind}, text_hash long, spans array<struct<s: int, e: int>>, items array<string>"
