@@ -59,6 +59,16 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
+#: Rows of keys (about 32 bytes each) up to which a key table is sent to every executor.
+SENT_KEYS = 2_000_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """keys, a written table, marked for broadcast if it has at most SENT_KEYS rows; beyond that
+    Spark shuffles both sides. Rows are the same either way."""
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def batched(spark: SparkSession) -> None:
     """Bounds Arrow batches by rows and bytes for this session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import arrow_schema, batched, by_rows, discard, table, tidy, utf8, written
+from .common import arrow_schema, batched, by_rows, small, table, tidy, utf8, written
 from .components import connected_components
 
 #: Bit widths of the six blocks, from the most significant bit.
@@ -220,7 +220,7 @@ def one_per_group(docs: DataFrame, k: int = 4, budget: int = 4) -> DataFrame:
     Rows with a null doc_id have no name to decide by and stay.
     """
     groups = written(simhash_groups(docs.where("doc_id is not null").select("doc_id", "text"), k, budget), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = small(written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
     twice = written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     kept = docs.join(gone, "doc_id", "left_anti")
     if twice.isEmpty():

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import ALNUM, arrow_schema, batched, table, tidy, utf8, written
+from .common import ALNUM, arrow_schema, batched, small, table, tidy, utf8, written
 
 SPAN, K = 13, 5
 #: Bits of the bitmap, as a power of two: 4 MB whatever the benchmark's size.
@@ -209,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; columns as they are."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    bad = written(bad.distinct(), "contaminated")
+    bad = small(written(bad.distinct(), "contaminated"))
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
     return docs.join(bad, on, "left_anti")
 
