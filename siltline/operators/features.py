@@ -15,9 +15,9 @@ WEIGHTS = {"tier": 0.05, "density": 0.05, "question": 0.03, "recency": 0.07, "en
 LENGTH_FULL, UPVOTES_FULL, COMMENTS_FULL = 1500, 100, 50
 
 
-def tier_hits(text: Column, tiers: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+def tier_hits(text: Column, tiers: dict[str, tuple[str, ...]], normal: bool = False) -> dict[str, Column]:
     """For each tier the array of its phrases that occur in text as normalised words."""
-    norm = keyword_normal(text)
+    norm = text if normal else keyword_normal(text)
     return {
         t: F.array_compact(F.array(*(F.when(F.contains(norm, keyword_normal(F.lit(p))), F.lit(p)) for p in phrases)))
         for t, phrases in tiers.items()
@@ -59,9 +59,9 @@ def length_value(n: Column, least: int) -> Column:
     return F.when(n < least, 0.0).otherwise(unit((n - least) / float(LENGTH_FULL - least)))
 
 
-def components(tiers: dict[str, tuple[str, ...]], least: int, window_days: int) -> dict[str, Column]:
-    text = F.concat_ws("\n", F.col("title"), F.col("body"))
-    hits = tier_hits(text, tiers)
+def components(tiers: dict[str, tuple[str, ...]], least: int, window_days: int, norm: str) -> dict[str, Column]:
+    """The components of a lead; norm names a column with the normalised title and body."""
+    hits = tier_hits(F.col(norm), tiers, normal=True)
     return {
         "tier": tier_value(hits),
         "density": density(hits),

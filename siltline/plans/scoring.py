@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SECRETS, redact, stable_hash
+from ..functions.text import SECRETS, keyword_normal, redact, stable_hash
 from ..operators import features, rules
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
@@ -89,8 +89,8 @@ _names = ("tier", "density", "question", "recency", "engagement", "length")
 
 
 def scored(df: DataFrame) -> DataFrame:
-    parts = features.components(TIERS, LEAST, WINDOW)
-    df = df.withColumns(parts)
+    parts = features.components(TIERS, LEAST, WINDOW, "norm")
+    df = df.withColumn("norm", keyword_normal(F.concat_ws("\n", "title", "body"))).withColumns(parts)
     return df.withColumn("total", features.prescore({k: F.col(k) for k in parts}))
 
 
