@@ -97,16 +97,26 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run_id, list_reduce(e, lambda a, x: CASE WHEN x = 0 THEN a // 1000 * 1000 WHEN a % 1000 + 1 >= 3 THEN (a // 1000 + 1) * 1000 ELSE a + 1 END, 0) // 1000 AS opened FROM o""",
 )
 def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a breaker that opens at three consecutive failures opened in each run."""
-    order = F.array_sort(F.collect_list(F.struct("second", "id", (F.col("event_type") == "error").alias("bad"))))
-    start = F.struct(F.lit(0).cast("long").alias("streak"), F.lit(0).cast("long").alias("opened"))
+    """How often a breaker that opens at three consecutive failures opened in each run.
+
+    A run's hours are summed up first (failures at either end, openings between them), so no task
+    orders a whole run's events; the fold over a run's hours carries the failures at the end.
+    """
+    order = F.array_sort(F.collect_list(F.struct("second", "id", F.when(F.col("event_type") == "error", "1").otherwise("0").alias("bad"))))
+    hours = events(spark, sf_dir).groupBy("run_id", F.floor(F.col("second") / 3600).alias("hour")).agg(order.alias("xs"))
+    hours = hours.select("run_id", "hour", F.array_join(F.transform("xs", lambda x: x.bad), "").alias("e"))
+    head, tail = F.length(F.regexp_extract("e", "^1*", 0)), F.length(F.regexp_extract("e", "1*$", 0))
+    inner = F.size(F.regexp_extract_all(F.substring(F.col("e"), head + 1, F.length("e") - head - tail), F.lit("111"), 0))
+    hour = F.struct("hour", (head == F.length("e")).alias("all"), head.alias("head"), tail.alias("tail"), F.greatest(inner, F.lit(0)).alias("inner"))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit(0).cast("long").alias("opened"))
 
     def fold(s, x):
-        trips = x.bad & (s["streak"] + 1 >= 3)
-        streak = F.when(~x.bad | trips, F.lit(0).cast("long")).otherwise(s["streak"] + 1)
-        return F.struct(streak.alias("streak"), (s["opened"] + trips.cast("long")).alias("opened"))
+        carry = F.when(x["all"], s["carry"] + x.head).otherwise(x.tail).cast("long")
+        more = F.when(x["all"], 0).otherwise(F.floor((s["carry"] + x.head) / 3) + x.inner).cast("long")
+        return F.struct(carry.alias("carry"), (s["opened"] + more).alias("opened"))
 
-    return events(spark, sf_dir).groupBy("run_id").agg(order.alias("xs")).select("run_id", F.aggregate("xs", start, fold, lambda s: s["opened"]).alias("opened"))
+    ended = F.aggregate(F.array_sort(F.collect_list(hour)), start, fold, lambda s: s["opened"] + F.floor(s["carry"] / 3))
+    return hours.groupBy("run_id").agg(ended.alias("opened"))
 
 
 @query(

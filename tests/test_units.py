@@ -1,6 +1,7 @@
 """Vocabulary and edge cases that the tables do not hold, on literal rows."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltline.functions import text
@@ -81,3 +82,36 @@ def test_first_wins_and_new_rows(spark):
     b = spark.createDataFrame([(2, "b"), (3, "b")], "id int, v string")
     assert sorted(map(tuple, latest.first_wins(a, b, "id").collect())) == [(1, "a"), (2, "a"), (3, "b")]
     assert [r.id for r in latest.new_rows(b, a, "id", F.col("v")).collect()] == [3]
+
+
+FEED = '<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>'
+
+
+def test_feed_entries():
+    from siltline.sources import atom
+
+    good = (
+        '<entry><author><name>/u/ann</name></author><content type="html">&lt;div class="md"&gt;&lt;p&gt; a &amp;amp; b&lt;/p&gt;'
+        "&lt;p&gt;c &lt;/p&gt;&lt;/div&gt;submitted by ann</content><id>t3_Ab1</id>"
+        '<link href="https://old.reddit.com/r/SaaS/x?y=1"/><updated>2026-01-01T00:00:00Z</updated><published>2026-08-08T11:20:00+02:00</published><title>T</title></entry>'
+    )
+    bare = "<entry><id>t3_z</id></entry>"
+    rows = atom.read_feed(FEED.format(good + "<entry><id>none</id></entry>" + bare))
+    assert [r["id"] for r in rows] == ["t3_Ab1", "t3_z"]
+    assert rows[0]["body"] == "a & bc" and rows[0]["author"] == "ann" and rows[0]["subreddit"] == "SaaS"
+    assert rows[0]["url"] == "https://www.reddit.com/r/SaaS/x?y=1" and rows[0]["created"] == "2026-08-08 09:20:00"
+    assert (rows[1]["author"], rows[1]["body"], rows[1]["created"], rows[1]["url"]) == ("[deleted]", "", None, "")
+    assert atom.read_feed(FEED.format("")) == []
+    for bad in ("<feed", "<rss/>", "<!DOCTYPE x><feed/>"):
+        with pytest.raises(atom.FeedError):
+            atom.read_feed(bad)
+
+
+def test_json_object():
+    from siltline.operators.replies import json_object
+
+    assert json_object('{"a": "}"}') == '{"a": "}"}'
+    assert json_object('```json\n{"a": 1}\n```') == '{"a": 1}'
+    assert json_object('so: {"a": {"b": 2}} and {more') == '{"a": {"b": 2}}'
+    for none in (None, "", "no", '{"a": 1', "{a}"):
+        assert json_object(none) is None
