@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import cascade, channels, listings, replies, reports, scoring, sites, stores, streams  # noqa: E402,F401
+from . import cascade, channels, listings, markup, replies, reports, scoring, sites, stores, streams  # noqa: E402,F401

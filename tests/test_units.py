@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltline.functions import text
 from siltline.operators import features, latest, rules, sketch
-from siltline.sources import html
+from siltline.sources import html, listing, markup
 
 
 def value(spark, column, **row):
@@ -115,3 +115,43 @@ def test_json_object():
     assert json_object('so: {"a": {"b": 2}} and {more') == '{"a": {"b": 2}}'
     for none in (None, "", "no", '{"a": 1', "{a}"):
         assert json_object(none) is None
+
+
+def test_listing_rows():
+    page = """<div class="thing link" data-fullname="t3_a" data-score="-7" data-timestamp="1000"><a class="title" href="/r/x/1"> A <b>b</b></a>
+      <a class="comments">12 comments</a><div class="expando"><div class="md"> one <p>two</p></div></div><div class="md">no</div></div>
+      <div class="thing link" data-fullname="t3_b" data-score="x" data-author=""><a class="comments">comment</a><time datetime="2026-01-02T03:04:05+01:00">t</time></div>
+      <div class="thing link"><a class="title">no id</a></div><div class="thing">no row</div><div class="thing link" data-fullname="t3_c">
+      <span class="nextprev"><a rel="prev" href="/p"></a><a rel="nofollow next" href="?after=t3_c">next</a></span>"""
+    a, b, c = listing.read_rows(page, listing.LISTING)
+    assert (a["title"], a["url"], a["score"], a["num_comments"], a["body"], a["created"]) == ("Ab", "https://www.reddit.com/r/x/1", -7, 12, "onetwo", "1970-01-01 00:00:01")
+    assert (b["author"], b["score"], b["num_comments"], b["created"]) == ("", None, 0, "2026-01-02 02:04:05")
+    assert (c["author"], c["num_comments"], c["created"], c["title"]) == ("[deleted]", None, None, "")
+    assert {r["next_url"] for r in (a, b, c)} == {"https://old.reddit.com?after=t3_c"}
+    assert listing.read_rows(None, listing.LISTING) == listing.read_rows("<div class='thing link'", listing.LISTING) == []
+
+
+def test_search_rows():
+    row = '<div class="search-result-link" data-fullname="t3_a"><a class="search-title" href="https://h/x">T</a><a class="search-subreddit-link">r/y</a></div>'
+    other = '<div class="search-result-group"><div class="nav-buttons"><a rel="next" href="/s?after=t5_1"></a></div></div>'
+    (a,) = listing.read_rows(other + row, listing.SEARCH)
+    assert (a["author"], a["subreddit"], a["num_comments"], a["score"], a["url"], a["next_url"]) == ("[deleted]", "y", 0, None, "https://h/x", None)
+    (a,) = listing.read_rows(f'{other}<div class="search-result-group">{row}<div class="nav-buttons"><a rel="next" href="/s?count=9"></a></div></div>', listing.SEARCH)
+    assert a["next_url"] == "https://old.reddit.com/s?count=9"
+    (a,) = listing.read_rows(f'{row}<a rel="next" href="?after=t5_1"></a><a rel="next" href="/q?after=t3_9"></a>', listing.SEARCH)
+    assert a["next_url"] == "https://old.reddit.com/q?after=t3_9"
+
+
+def test_business_nodes():
+    deep = '{"@graph": ' * 400 + '{"@type": "Offer"}' + "}" * 400
+    assert markup.business_nodes(["{", "", "[1, null]", '{"@type": ["X", "Offer"]}', '{"about": {"@type": "Offer"}}']) == ['{"@type": ["X", "Offer"]}']
+    assert markup.business_nodes([deep]) == ['{"@type": "Offer"}']
+
+
+def test_marks(spark):
+    rows = [(1, None), (2, ""), (3, "<script type='application/LD+json'>{\"@type\": \"Offer\"}</script><a href=' https://m.youtube.com/c '>y</a><script src='//x.segment.io/a'></script>")]
+    got = markup.marks(spark.createDataFrame(rows, "page_id long, html string"))
+    got = got.select("page_id", F.transform("anchors", lambda a: a).alias("a"), markup.tools("scripts", "generator").alias("t"), "nodes")
+    assert [tuple(r) for r in got.orderBy("page_id").collect()] == [(1, [], [], []), (2, [], [], []), (3, ["https://m.youtube.com/c"], ["Segment"], ['{"@type": "Offer"}'])]
+    urls = spark.createDataFrame([("https://m.youtube.com/c",), ("https://notyoutube.com",), ("HTTPS://WWW.X.COM",), ("/x.com",), (None,)], "url string")
+    assert [r[0] for r in urls.select(markup.platform("url")).collect()] == ["youtube", None, "twitter", None, None]
