@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltline.llm import op3_language, op5_simhash, op7_winnow, op10_packing
+from siltline.llm import near_copies, op3_language, op7_winnow, op10_packing
 from siltline.llm.common import held_out, table, written
 
 
@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    return op5_simhash.one_per_group(docs)
+    """Keeps the document with the smallest doc_id of each group of near copies: texts whose sets
+    of five-word shingles have a similarity of 0.8 or more, and what such links connect."""
+    return near_copies.one_per_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
