@@ -9,10 +9,12 @@ partition's bin to its final sequence and shift, never as lists.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from base64 import b64decode
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,11 @@ REMEMBERED, WORD = 120_000, 40
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE vocabulary.
 
-    A blank between two non-blank characters always starts a token of this vocabulary's
+    Added tokens of the tokenizer file are cut out of a text first and are one id each. A blank between two non-blank characters always starts a token of this vocabulary's
     pattern, so the pieces between such blanks are encoded apart and frequent ones remembered.
     """
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
@@ -48,6 +50,8 @@ class Encoder:
         for token, i in ranks.items():
             self.size[i] = len(token)
         self.known: dict[str, bytes] = {}
+        self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
@@ -63,8 +67,13 @@ class Encoder:
         for w, a, z in zip(words, at, at[1:]):
             self.known[w] = ids[a:z].tobytes()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """One bytes object a text; equals encode(text) for each."""
+    def encode_all(self, texts: list[str], special: bool = False) -> list[bytes]:
+        """One bytes object a text; equals encode(text) for each, with special the ids of added
+        tokens in place of their texts' ids."""
+        if special and self.cut:
+            parts = [self.cut.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+            plain = iter(self.encode_all([p for ps in parts for p in ps[::2]]))
+            return [b"".join(self.added[p] if i % 2 else next(plain) for i, p in enumerate(ps)) for ps in parts]
         split = [t.split(" ") for t in texts]
         new = {w for ws in split for w in ws[1:]} - self.known.keys()
         new = {w for w in new if w and len(w) <= WORD and not w[0].isspace() and not w[-1].isspace()}
@@ -102,12 +111,16 @@ _encoder: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str | None = None) -> Encoder:
-    """The worker's encoder; vocabulary is a .tiktoken file, by default the public 50k one."""
+    """The worker's encoder; vocabulary is a .tiktoken file, by default the public 50k one. Its
+    added tokens are those of the tokenizer file of the same name, where there is one."""
     import public_tokenizers
 
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
     if path not in _encoder:
-        _encoder[path] = Encoder(path, public_tokenizers.PATTERN)
+        full, added = Path(path).with_suffix(".json"), {}
+        if full.exists():
+            added = {t["content"]: t["id"] for t in json.loads(full.read_text("utf-8"))["added_tokens"]}
+        _encoder[path] = Encoder(path, public_tokenizers.PATTERN, added)
     return _encoder[path]
 
 
@@ -152,7 +165,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -
         enc = encoder(vocabulary)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist(), special=True), strict=True):
                 ids += b"\0\0\0\0"
                 n = len(ids) // 4
                 cuts = [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
