@@ -86,12 +86,23 @@ p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.g =
 SELECT a, b, CAST(round(shared / (x.n + y.n - shared)::DOUBLE, 6) AS DOUBLE) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared / (x.n + y.n - shared)::DOUBLE >= {JACCARD}""",
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """title_pairs over the first 200 characters of titles, as the SQL has it."""
+    return title_pairs(leads(spark, sf_dir).select("id", F.substring("title", 1, 200).alias("title")))
+
+
+@query("jaccard_pairs_whole")
+def jaccard_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """title_pairs over whole titles."""
+    return title_pairs(leads(spark, sf_dir))
+
+
+def title_pairs(posts: DataFrame) -> DataFrame:
     """Distinct titles whose shingle sets have an exact Jaccard similarity of 0.8 or more.
 
     A pair must share one of each set's rarest shingles (the prefix filter), so frequent
     shingles never join; candidates are then measured exactly.
     """
-    titles = leads(spark, sf_dir).select("id", dedup_normal(F.substring("title", 1, 200)).alias("t")).where("t <> ''")
+    titles = posts.select("id", dedup_normal(F.col("title")).alias("t")).where("t <> ''")
     sets = titles.groupBy("t").agg(F.min("id").alias("id")).select("id", shingles(F.col("t")).alias("s"))
     grams = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("c"))
