@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,7 +144,8 @@ SELECT q.vec_id AS query, v.vec_id AS other, CAST(round(list_cosine_similarity(q
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) <= 3""",
 )
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors of each query vector (ids divisible by 50) among all vectors."""
+    """A search, not the similarity join (cosine_near): the three nearest vectors of each query
+    vector (ids divisible by 50) among all vectors, as the SQL has it."""
     unit = lambda c: F.transform(c, lambda x: x.cast("double"))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("n", norm(F.col("v")))
@@ -150,3 +153,43 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = vecs.join(qs, F.col("query") != F.col("vec_id")).select("query", F.col("vec_id").alias("other"), F.round(dot / (F.col("m") * F.col("n")), 6).alias("cosine"))
     return latest.top_per(pairs, ["query"], 3, F.desc("cosine"), F.col("other"))
+
+
+#: Vectors of one block; a task compares two blocks.
+BLOCK = 2048
+
+
+def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b, cosine) of all distinct vectors (vec_id, embedding) with a cosine of 0.9 or more.
+
+    Equal vectors are one, by their smallest id; a zero vector is near none. Every block meets
+    every other, so no pair is lost; the work grows with the square of the distinct vectors.
+    """
+    one = vectors.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"))
+    g = max(1, -(-vectors.count() // block))
+    mine = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
+    cells = one.withColumn("s", mine).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
+    cells = cells.select("id", "embedding", "s", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"))
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack([np.asarray(e, np.float64) for e in cell["embedding"]])
+        norm = np.linalg.norm(v, axis=1)
+        v = v / np.where(norm > 0, norm, 1)[:, None]
+        left, right = cell["s"].to_numpy() == cell["p"].iloc[0], cell["s"].to_numpy() == cell["q"].iloc[0]
+        ids, out = cell["id"].to_numpy(), []
+        x, y, yid = v[left], v[right], ids[right]
+        for at in range(0, len(x), 256):
+            cos = x[at : at + 256] @ y.T
+            i, j = np.nonzero(cos >= COSINE)
+            a, b = ids[left][at + i], yid[j]
+            keep = a < b if (left == right).all() else a != b
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": cos[i, j][keep].round(6)}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
+
+    return cells.groupBy("p", "q").applyInPandas(meet, "a long, b long, cosine double")
+
+
+@query("cosine_near")
+def cosine_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_vectors of all vectors; cosine_pairs is a search for the three nearest only."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -1,5 +1,7 @@
 """Queries over whole values against brute force."""
 
+import numpy as np
+
 from siltline.plans import cascade, stores
 
 
@@ -27,3 +29,20 @@ def test_new_posts_are_known_by_whole_titles(spark):
     rows = [(3, "a", "the same start, stored"), (4, "a", "the same start, new"), (5, "a", "the same start, stored"), (6, "a", "the same start, new"), (7, "b", "the same start, new")]
     got = stores.new_posts(spark.createDataFrame(rows, "id long, subreddit string, title string")).collect()
     assert sorted(r.id for r in got) == [4, 7]
+
+
+def test_all_near_vectors_are_found(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 16))
+    vecs = np.concatenate([base[np.arange(60) % 12] + rng.normal(size=(60, 16)) * 0.25, base[:1], base[:1], np.zeros((1, 16))])
+    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1), 1e-30)[:, None]
+    cos = unit @ unit.T
+    n = len(vecs)
+    want = {(i, j): round(float(cos[i, j]), 6) for i in range(n) for j in range(i + 1, n) if cos[i, j] >= 0.9 and 61 not in (i, j)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    for block in (9, 2048):
+        rows = cascade.near_vectors(df, block).collect()
+        got = {(r.a, r.b): r.cosine for r in rows}
+        assert len(rows) == len(got) and got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert len([k for k in want if k[0] % 50 and k[1] % 50]) > 20
