@@ -64,3 +64,11 @@ def test_rows_without_words_and_repeated(spark):
     got = near_copies.one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "a b"), (1, "a b"), (2, ""), (5, "c")]
     assert near_copies.one_per_group(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    a, b, c = map(" ".join, words)
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, b + " end")]
+    got = near_copies.one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == [(1, a), (5, b), (7, c)]
