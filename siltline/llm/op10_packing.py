@@ -29,82 +29,22 @@ LIMIT = 2048
 SLACK = 4
 #: Tasks whose bins meet in one task of the next round, and the most items a task takes.
 FAN_IN, CAP = 8, 200_000
-#: Words whose ids a worker remembers, and the longest such word.
-REMEMBERED, WORD = 120_000, 40
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE vocabulary.
-
-    Added tokens of the tokenizer file are cut out of a text first and are one id each. A blank between two non-blank characters always starts a token of this vocabulary's
-    pattern, so the pieces between such blanks are encoded apart and frequent ones remembered.
-    """
+    """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE vocabulary."""
 
     def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None) -> None:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.size[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
-        self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        joined = " " + " ".join(words)
-        ids = np.array(self.bpe.encode_ordinary(joined), "<u4")
-        ends = np.cumsum(self.size[ids])
-        cut = np.cumsum([len(w.encode()) + 1 for w in words])
-        at = [0, *(np.searchsorted(ends, cut) + 1).tolist()]
-        for w, a, z in zip(words, at, at[1:]):
-            self.known[w] = ids[a:z].tobytes()
-
-    def encode_all(self, texts: list[str], special: bool = False) -> list[bytes]:
-        """One bytes object a text; equals encode(text) for each, with special the ids of added
-        tokens in place of their texts' ids."""
-        if special and self.cut:
-            parts = [self.cut.split(t) if any(a in t for a in self.added) else [t] for t in texts]
-            plain = iter(self.encode_all([p for ps in parts for p in ps[::2]]))
-            return [b"".join(self.added[p] if i % 2 else next(plain) for i, p in enumerate(ps)) for ps in parts]
-        split = [t.split(" ") for t in texts]
-        new = {w for ws in split for w in ws[1:]} - self.known.keys()
-        new = {w for w in new if w and len(w) <= WORD and not w[0].isspace() and not w[-1].isspace()}
-        if new:
-            self._learn(new)
-        known, out = self.known, []
-        for text, ws in zip(texts, split, strict=True):
-            parts = list(map(known.get, ws))
-            parts[0] = None
-            if parts.count(None) == 1 and ws[0] and not ws[0][-1].isspace():
-                parts[0] = self.encode(ws[0])
-                out.append(b"".join(parts))
-            else:
-                out.append(self._mixed(ws, parts))
-        return out
-
-    def _mixed(self, ws: list[str], parts: list[bytes | None]) -> bytes:
-        """Runs of words that are not remembered are encoded with their blanks in one call."""
-        out, i, n = [], 0, len(ws)
-        while i < n:
-            if parts[i] is not None:
-                out.append(parts[i])
-                i += 1
-                continue
-            j = i + 1
-            # a run ends before a remembered word only where its own last character is no blank
-            while j < n and (parts[j] is None or not ws[j - 1] or ws[j - 1][-1].isspace()):
-                j += 1
-            out.append(self.encode((" " if i else "") + " ".join(ws[i:j])))
-            i = j
-        return b"".join(out)
+        self.bpe = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
+
+    def encode(self, text: str, special: bool = False) -> bytes:
+        """special: the texts of added tokens become their ids, else they are text like any other."""
+        ids = self.bpe.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 _encoder: dict[str, Encoder] = {}
@@ -124,12 +64,6 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     return _encoder[path]
 
 
-def forget() -> None:
-    """Drops the worker's remembered words; its vocabulary stays."""
-    for e in _encoder.values():
-        e.known.clear()
-
-
 def best_fit(sizes: list[int], limit: int) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset) of every item and the fill of every bin, best-fit in falling size."""
     room: list[list[int]] = [[] for _ in range(limit + 1)]
@@ -165,15 +99,15 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None) -
         enc = encoder(vocabulary)
         for b in batches:
             rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist(), special=True), strict=True):
-                ids += b"\0\0\0\0"
+            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+                doc_id, ids = doc_id.as_py(), enc.encode(text.as_py(), special=True) + b"\0\0\0\0"
                 n = len(ids) // 4
                 cuts = [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
                 rows += [(doc_id, i, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for i, (s, e) in enumerate(zip(cuts, cuts[1:]))]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run, forget), ddl)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), ddl)
 
 
 def _packed(df: DataFrame, size: str, limit: int, level: int, ddl: str) -> DataFrame:

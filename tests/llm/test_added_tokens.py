@@ -17,8 +17,8 @@ PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([END, "a", " b", " ", "  ", "\n", "\t", "é,", "1", "<|", "|>", "'s"]), max_size=12).map("".join), min_size=1, max_size=4))
 def test_added_tokens_are_one_id(texts):
-    for t, ids in zip(texts, op10_packing.encoder().encode_all(texts, special=True), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+    for t in texts:
+        assert np.frombuffer(op10_packing.encoder().encode(t, special=True), "<u4").tolist() == PLAIN.encode(t, add_special_tokens=False).ids
 
 
 def test_packed_lengths_and_digests(spark):
