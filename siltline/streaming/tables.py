@@ -6,20 +6,12 @@ restarted query gives the same rows. The newest batch of a key is its final stat
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors see: spark.checkpoint.dir, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="siltline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..sources.shared import shared_dir
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
