@@ -22,35 +22,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
-from .common import arrow_schema, batched, by_rows, small, table, tidy, utf8, written
+from .common import arrow_schema, batched, by_rows, table, tidy, utf8, written
 from .components import connected_components
 
 #: Bit widths of the six blocks, from the most significant bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one key that one slice may hold.
 SLICE = 4096
-#: Node pairs that a task expands at once.
+#: Rows that a task works on at once, rounded up to whole keys; node pairs that it expands at once.
+TOGETHER = 1 << 17
 FRONT = 1 << 18
 SEED = 42
 
 
-def fingerprint(text: bytes, k: int = 4, chunk: int = 1 << 16) -> bytes:
-    """Eight bytes: a bit is 1 where over half of the shingle hashes have it; no words: zero."""
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """XXH64 of every k-word shingle, repeats included; fewer words are one shingle, none give none."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return bytes(8)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if n <= k:
-        return xxh64_digest(joined, SEED)
+        return np.frombuffer(xxh64_digest(joined, SEED), ">u8").astype(np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     first = [0, *(ends[: n - k] + 1).tolist()]
-    last = ends[k - 1 :].tolist()
-    ones, m = np.zeros(64, np.int64), len(last)
-    for at in range(0, m, chunk):
-        got = b"".join([xxh64_digest(joined[a:z], SEED) for a, z in zip(first[at : at + chunk], last[at : at + chunk])])
-        ones += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > m).tobytes()
+    got = b"".join([xxh64_digest(joined[a:z], SEED) for a, z in zip(first, ends[k - 1 :].tolist(), strict=True)])
+    return np.frombuffer(got, ">u8").astype(np.uint64)
+
+
+def majority(h: np.ndarray, chunk: int = 1 << 16) -> bytes:
+    """Eight bytes: a bit is 1 where over half of the hashes have it; no hashes: zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), chunk):
+        ones += np.unpackbits(h[at : at + chunk].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).tobytes()
+
+
+def fingerprint(text: bytes, k: int = 4) -> bytes:
+    return majority(shingle_hashes(text, k))
 
 
 def with_fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -65,7 +74,7 @@ def with_fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     )
 
 
-def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def union_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (index of a root) after joining a[i] with b[i]."""
     while True:
         x, y = label[a], label[b]
@@ -104,7 +113,7 @@ def trie_forest(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndar
 
     def relabel(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal label, turns
-        label = _union(label, a, b)
+        label = union_labels(label, a, b)
         turns = np.r_[0, np.cumsum(label[1:] != label[:-1])]
 
     relabel(lo[:0], lo[:0])
@@ -181,17 +190,33 @@ def near_links(fps: DataFrame, budget: int = 4, blocks: tuple[int, ...] = BLOCKS
     )
     schema = arrow_schema("u long, v long")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)) for b in batches if b.num_rows]
-        if got:
-            key, fp, p, q = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((q, p, key))
-            key, fp, p, q = key[order], fp[order], p[order], q[order]
-            new = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-            u, v = trie_forest(np.r_[0, np.cumsum(new)], fp.view(np.uint64), budget)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+    def links(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, fp, p, q = (np.concatenate(x) for x in zip(*rows, strict=True))
+        new = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        u, v = trie_forest(np.r_[0, np.cumsum(new)], fp.view(np.uint64), budget)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
 
-    return whole.union(cut).repartition("key", "p", "q").mapInArrow(tidy(run), "u long, v long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in key order; a step takes whole keys, of at most two slices each
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if n >= TOGETHER:
+                last = [h[-1] for i, h in enumerate(held[-1]) if i != 1]
+                new = np.flatnonzero((cols[0] != last[0]) | (cols[2] != last[1]) | (cols[3] != last[2]))
+                if len(new):
+                    held.append(tuple(c[: new[0]] for c in cols))
+                    yield links(held)
+                    held, n, cols = [], 0, tuple(c[new[0] :] for c in cols)
+            held.append(cols)
+            n += len(cols[0])
+        if held:
+            yield links(held)
+
+    dealt = whole.union(cut).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.mapInArrow(tidy(run), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, k: int = 4, budget: int = 4) -> DataFrame:
@@ -214,20 +239,5 @@ def simhash_groups(docs: DataFrame, k: int = 4, budget: int = 4) -> DataFrame:
     )
 
 
-def one_per_group(docs: DataFrame, k: int = 4, budget: int = 4) -> DataFrame:
-    """docs with the smallest doc_id of each group only; of rows that repeat it one stays.
-
-    Rows with a null doc_id have no name to decide by and stay.
-    """
-    groups = written(simhash_groups(docs.where("doc_id is not null").select("doc_id", "text"), k, budget), "groups")
-    gone = small(written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone"))
-    twice = written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -25,11 +25,12 @@ def planted():
 
 def lows(texts):
     """The smallest member of the component of each text, by all pairs."""
-    sets = [near_copies.word_shingles(t.encode()) for t in texts]
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     low, links = list(range(len(texts))), {0.8: 0, 0.9: 0, 0.95: 0}
     for i in range(len(texts)):
         for j in range(i):
-            s = near_copies.jaccard(sets[i], sets[j])
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
             if s >= 0.8:
                 links[max(x for x in links if x <= s)] += 1
                 a, b = sorted((low[i], low[j]))
@@ -59,6 +60,39 @@ def test_slices_and_a_hot_template(spark, monkeypatch):
     assert got == sorted(set(low)) == [0, 60, 61, 62, 63, 64]
 
 
+def test_a_family_that_only_cells_connect(spark, monkeypatch):
+    """Copies with many changes each: few are similar to a key's smallest node."""
+    monkeypatch.setattr(near_copies, "SLICE", 16)
+    rng = np.random.default_rng(10)
+    base, texts = [f"t{i}" for i in range(150)], []
+    for i in range(90):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            copy[at] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+    low, _ = lows(texts)
+    got = sorted(r.doc_id for r in near_copies.one_per_group(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect())
+    assert got == sorted(set(low)) and 1 < len(got) < 60
+
+
+def test_overlaps_are_counted_exactly():
+    rng = np.random.default_rng(11)
+    for few in (0, 3, 10**6):
+        near_copies.FEW, before = few, near_copies.FEW
+        try:
+            x, y = ([np.unique(rng.integers(0, 90, n, dtype=np.uint64)) for n in rng.integers(0, 60, m)] for m in (17, 23))
+            want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+            assert near_copies.overlaps(x, y, columns=8).tolist() == want
+        finally:
+            near_copies.FEW = before
+
+
+def test_clashing_names_and_ties(spark):
+    rows = [(1, "a b c", 5, "x"), (1, "a b c", 6, "y"), (2, "a  b c", 7, "z")]
+    got = near_copies.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, d long, node string")).collect()
+    assert len(got) == 1 and got[0].doc_id == 1 and got[0].d in (5, 6)
+
+
 def test_rows_without_words_and_repeated(spark):
     rows = [(1, "a b"), (2, None), (3, ""), (4, "A  b"), (5, "c"), (5, "c"), (None, "a b"), (None, None)]
     got = near_copies.one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltline.llm import op1_hmm, op2_jpeg, op3_language, op4_warc, op5_simhash, op6_license, op7_winnow, op8_chat, op9_kdtree, op10_packing
+from siltline.llm import near_copies, op1_hmm, op2_jpeg, op3_language, op4_warc, op5_simhash, op6_license, op7_winnow, op8_chat, op9_kdtree, op10_packing
 
 LONG = "word " * 30000 + "x" * 5000
 SCHEMA = "doc_id long, text string, lang string, fp string, score double, hit string, bin long, shard int"
@@ -34,7 +34,7 @@ def test_empty_tables(spark, none):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert op2_jpeg.features(op2_jpeg.store(none)).count() == 0
     assert op3_language.with_language(none, op3_language.train(none)).count() == 0
-    assert op5_simhash.simhash_groups(none).count() == 0 and op5_simhash.one_per_group(none).count() == 0
+    assert op5_simhash.simhash_groups(none).count() == 0 and near_copies.one_per_group(none).count() == 0
     assert op6_license.licenses(none).count() == 0
     assert op7_winnow.contamination(none, bench).count() == 0
     assert op8_chat.digests(op8_chat.formatted(turns)).count() == 0
@@ -146,7 +146,7 @@ def test_simhash_rows_and_slices(spark, docs):
     got = op5_simhash.simhash_groups(docs).toPandas()
     assert len(got) == 9 and set(got[got["doc_id"].isin([2, 3, 7])]["component_id"]) == {2}
     assert set(got[got["doc_id"] == 5]["component_id"]) == {1}
-    kept = [r.doc_id for r in op5_simhash.one_per_group(docs).collect()]
+    kept = [r.doc_id for r in near_copies.one_per_group(docs).collect()]
     assert sorted(x for x in kept if x is not None) == [1, 2, 4, 8] and kept.count(None) == 1
     rng = np.random.default_rng(5)
     fps = [int(x) for x in np.unique(np.array([sum(1 << int(b) for b in rng.integers(0, 60, 3)) for _ in range(300)]))]
