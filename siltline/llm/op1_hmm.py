@@ -3,8 +3,9 @@
 States emit word classes: the most frequent words are a class each, all others share hashed
 classes, and a word's share of its class is the same in every state. So the model's size is
 bounded while the word counts, which grow with the corpus, stay a table. Baum-Welch runs on
-class sequences: every task adds up expected counts of its sequences, Spark sums them, and the
-new parameters go out with the next round. Scores come from the scaled forward recursion over
+whole class sequences: every task adds up expected counts of its sequences, Spark sums them, and
+the new parameters go out with the next round. Long sequences run in pieces side by side, each
+given the exact forward and backward messages of its neighbours. Scores come from the scaled forward recursion over
 whole texts, plus the words' log shares, looked up by a join for all but frequent words.
 """
 
@@ -24,20 +25,30 @@ from .common import arrow_schema, batched, held_out, table, tidy, utf8, written
 
 #: States, words that are classes, hashed classes (a power of two), Baum-Welch rounds.
 STATES, OWN, HASHED, ROUNDS = 6, 4096, 1024, 4
-#: Words whose counts are sent to tasks, and the longest of them: at most 8 MB.
+#: Words whose counts are sent to tasks, and the longest that go as they are, others by hash: at
+#: most 8 MB.
 SENT, LONGEST = 65536, 64
-#: Tokens of a training sequence (longer texts train in pieces) and of one numpy step.
-SEQUENCE, TOGETHER = 1024, 300_000
+#: Tokens of a piece (it has no influence on results) and of the sequences taken together.
+PIECE, TOGETHER = 1024, 300_000
 #: Additive smoothing of counts, and words a worker remembers or counts before passing on.
 ADD, REMEMBERED = 0.1, 200_000
 SEED = 7
 LN10 = float(np.log(10))
 
 
+def word_key(word: bytes) -> bytes:
+    """What stands for a word among those sent: itself, or its hash where it is long."""
+    return word if len(word) <= LONGEST and word[:1] != b"\0" else b"\0%016X" % xxh64_intdigest(word, 42)
+
+
+def key_hash(key: bytes) -> int:
+    return int(key[1:], 16) if key[:1] == b"\0" else xxh64_intdigest(key, 42)
+
+
 class Vocabulary(NamedTuple):
     """What tasks know of the counts: frequent words by rank, their counts, and class totals."""
 
-    words: list[str]
+    words: list[str]  # as word_key() gives them
     counts: np.ndarray
     class_sum: np.ndarray  # tokens of each hashed class without words that are classes
     class_size: np.ndarray  # distinct words of it
@@ -75,7 +86,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     # frequent words by whole steps of a log scale, so no task sends more than its share
-    short, step = counts.where(F.octet_length("word") <= LONGEST), F.floor(F.log("c") * 32)
+    own = (F.octet_length("word") <= LONGEST) & ~F.col("word").startswith("\0")
+    key = F.when(own, F.col("word")).otherwise(F.concat(F.lit("\0"), F.lpad(F.hex(F.xxhash64("word")), 16, "0")))
+    short, step = counts.select(key.alias("word"), "c"), F.floor(F.log("c") * 32)
     room, least = SENT, None
     for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):
         room -= r["count"]
@@ -91,7 +104,7 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
         total[r.g], size[r.g] = r.c, r.v
     tokens, distinct = int(total.sum()) + n_docs, int(size.sum()) + (n_docs > 0)
     for w, n in zip(words[:OWN], c):
-        g = xxh64_intdigest(w, 42) % HASHED
+        g = key_hash(w.encode()) % HASHED
         total[g] -= n
         size[g] -= 1
     return Vocabulary(words, c, total, size, n_docs, tokens, distinct)
@@ -118,11 +131,12 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         class Ranks(dict):
             def __missing__(self, word: bytes) -> int:
-                self[word] = r = m + xxh64_intdigest(word, 42) % HASHED
+                key = word_key(word)
+                self[word] = r = known[key] if key is not word and key in known else m + xxh64_intdigest(word, 42) % HASHED
                 return r
 
         ranks = Ranks(known)
-        slot = np.array([xxh64_intdigest(w, 42) % HASHED for w in v.words], np.int64)
+        slot = np.array([key_hash(w) % HASHED for w in known], np.int64)
         class_of = np.r_[np.where(np.arange(m) < OWN, np.arange(m) + 1, OWN + 1 + slot), OWN + 1 + np.arange(HASHED)].astype(np.uint16)
         low = v.class_log()
         base = np.r_[np.log10(v.counts + ADD), np.zeros(HASHED)]
@@ -131,18 +145,23 @@ def coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         for b in batches:
             if len(ranks) > m + REMEMBERED:
                 ranks = Ranks(known)
-            rows = []
+            rows, rare, times, ends = [], [], [], [0]
             for t in b.column(at).to_pylist():
                 words = t.lower().split()
                 r = np.fromiter(map(ranks.__getitem__, words), np.int64, len(words))
                 new = np.flatnonzero(r >= m).tolist()
-                rare = Counter([words[i] for i in new])
-                rare = [{"word": w.decode(), "n": n} for w, n in rare.items()]
+                if new:
+                    often = Counter([words[i] for i in new])
+                    rare += often
+                    times += often.values()
+                ends.append(len(rare))
                 n = len(words)
                 ids = np.append(class_of[r], np.uint16(0)).tobytes()
-                rows.append((ids, n + 1, n + 1 - len(new), float(base[r].sum() + end), float(share[r].sum()), rare))
+                rows.append((ids, n + 1, n + 1 - len(new), float(base[r].sum() + end), float(share[r].sum())))
             cols = [c for i, c in enumerate(b.columns) if i != at]
-            cols += [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([])] * 6
+            cols += [pa.array(c) for c in zip(*rows, strict=True)] if rows else [pa.array([])] * 5
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], ["word", "n"])
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return docs.mapInArrow(tidy(run), ddl)
@@ -201,80 +220,124 @@ def forward(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
-def expected_counts(seqs: list[np.ndarray], model: Model, total: Model) -> float:
-    """Adds a forward-backward pass's expected counts to total; gives the log likelihood."""
-    obs, live, _ = _timed(seqs)
+def _spans(seqs: list[np.ndarray], model: Model) -> np.ndarray:
+    """For each sequence the matrix R that takes a forward message before its first emission to
+    the one after its last, up to a factor: alpha @ R; and R @ beta the other way round."""
+    obs, live, order = _timed(seqs)
+    k = len(model.start)
+    m, at = np.broadcast_to(np.eye(k), (len(seqs), k, k)).copy(), 0
+    for t, n in enumerate(live.tolist()):
+        part = (m[:n] @ model.step if t else m[:n]) * model.emit[obs[at : at + n]][:, None, :]
+        m[:n] = part / part.sum(axis=(1, 2), keepdims=True)
+        at += n
+    out = np.empty_like(m)
+    out[order] = m
+    return out
+
+
+def pieces_of(seqs: list[np.ndarray], model: Model, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(pieces of at most size tokens, forward message that arrives at each, backward message after
+    each, whether it is its sequence's first): cut sequences' pieces get exact messages."""
+    parts = [[s[a : a + size] for a in range(0, len(s), size)] for s in seqs]
+    flat = [p for ps in parts for p in ps]
+    first = np.array([not i for ps in parts for i in range(len(ps))], bool)
+    arrive, after = np.zeros((len(flat), len(model.start))), np.ones((len(flat), len(model.start)))
+    many = np.flatnonzero(np.repeat([len(ps) > 1 for ps in parts], [len(ps) for ps in parts])).tolist()
+    if many:
+        spans = dict(zip(many, _spans([flat[i] for i in many], model), strict=True))
+        for i in many:
+            if not first[i]:
+                a = (model.start if first[i - 1] else arrive[i - 1] @ model.step) @ spans[i - 1]
+                arrive[i] = a / a.sum()
+        for i in many[::-1]:
+            if not first[i]:
+                b = model.step @ (spans[i] @ after[i])
+                after[i - 1] = b / b.sum()
+    return flat, arrive, after, first
+
+
+def expected_counts(seqs: list[np.ndarray], model: Model, total: Model, size: int = PIECE) -> float:
+    """Adds a forward-backward pass's expected counts to total (the step counts without the factor
+    of the model's step); gives the log likelihood. size, the tokens of a piece, changes nothing."""
+    flat, arrive, after, first = pieces_of(seqs, model, size)
+    obs, live, order = _timed(flat)
     k = len(model.start)
-    start, step = model.start.astype(np.float32), model.step.astype(np.float32)
+    start, arrive = first[order], arrive[order].astype(np.float32)
+    after, step = after[order].astype(np.float32), model.step.astype(np.float32)
+    before = np.where(start[:, None], model.start.astype(np.float32), arrive @ step)
     e = model.emit.astype(np.float32)[obs]
-    alpha, scale, at, like = np.empty_like(e), np.empty(len(e), np.float32), 0, 0.0
+    alpha, scale, at = np.empty_like(e), np.empty(len(e), np.float32), 0
     places = []
     for n in live.tolist():
-        a = (start if not places else alpha[places[-1] : places[-1] + n] @ step) * e[at : at + n]
+        a = (before if not places else alpha[places[-1] : places[-1] + n] @ step) * e[at : at + n]
         c = a.sum(axis=1)
         np.divide(a, c[:, None], out=alpha[at : at + n])
         scale[at : at + n] = c
         places.append(at)
         at += n
     like = float(np.log(scale.astype(np.float64)).sum())
-    beta = np.ones((int(live[-1]), k), np.float32)
-    for t in range(len(live) - 1, 0, -1):
+    beta = np.zeros((0, k), np.float32)
+    for t in range(len(live) - 1, -1, -1):
         at, n = places[t], int(live[t])
+        if n > len(beta):  # pieces that end here
+            done = alpha[at + len(beta) : at + n]
+            last = after[len(beta) : n] / (done * after[len(beta) : n]).sum(axis=1, keepdims=True)
+            beta = np.concatenate([beta, last])
         g = e[at : at + n] * beta / scale[at : at + n, None]
-        prev = places[t - 1]
-        total.step[:] += alpha[prev : prev + n].T @ g
         alpha[at : at + n] *= beta
-        beta = np.ones((int(live[t - 1]), k), np.float32)
-        beta[:n] = g @ step.T
-    alpha[: live[0]] *= beta
-    total.start[:] += alpha[: live[0]].sum(axis=0)
+        if t:
+            prev = places[t - 1]
+            total.step[:] += alpha[prev : prev + n].T @ g
+            beta = g @ step.T
+    total.start[:] += alpha[: live[0]][start].sum(axis=0)
+    total.step[:] += arrive[~start].T @ g[~start]  # between pieces
     for s in range(k):
         total.emit[:, s] += np.bincount(obs, alpha[:, s], len(total.emit))
     return like
 
 
-def baum_welch(seqs: DataFrame, model: Model, prior: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model after some rounds over every row of seqs (classes: 16-bit ids)."""
+def baum_welch(seqs: DataFrame, model: Model, prior: np.ndarray, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """The model after some rounds over every row of seqs (classes: 16-bit ids), and the log
+    likelihood that each round found before its change."""
     batched(seqs.sparkSession)
     k, m = len(model.start), len(prior)
-    names = [f"s{i}" for i in range(k)]
+    names, likes = [f"s{i}" for i in range(k)], []
     ddl = "kind int, i int, " + ", ".join(f"{n} double" for n in names)
     schema = arrow_schema(ddl)
     for _ in range(rounds):
         shared = seqs.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            old, held, n = shared.value, [], 0
+            old, held, n, like = shared.value, [], 0, 0.0
             total = Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
             for b in batches:
                 for raw in b.column(0):
-                    s = np.frombuffer(raw.as_py(), np.uint16)
-                    for a in range(0, len(s), SEQUENCE):
-                        held.append(s[a : a + SEQUENCE])
-                        n += len(held[-1])
-                        if n >= TOGETHER:
-                            expected_counts(held, old, total)
-                            held, n = [], 0
+                    held.append(np.frombuffer(raw.as_py(), np.uint16))
+                    n += len(held[-1])
+                    if n >= TOGETHER:
+                        like += expected_counts(held, old, total)
+                        held, n = [], 0
             if held:
-                expected_counts(held, old, total)
+                like += expected_counts(held, old, total)
             # emissions; then transitions as the expected pairs without the factor of the step
             used = np.flatnonzero(total.emit.sum(axis=1))
-            kinds = np.r_[np.zeros(len(used)), np.ones(k), [2]].astype(np.int32)
-            index = np.r_[used, np.arange(k), [0]].astype(np.int32)
-            rows = np.vstack([total.emit[used], total.step * old.step, total.start[None]])
+            kinds = np.r_[np.zeros(len(used)), np.ones(k), [2, 3]].astype(np.int32)
+            index = np.r_[used, np.arange(k), [0, 0]].astype(np.int32)
+            rows = np.vstack([total.emit[used], total.step * old.step, total.start[None], np.full((1, k), like / k)])
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(index), *(pa.array(rows[:, j]) for j in range(k))], schema=schema)
 
         sums = seqs.select("classes").mapInArrow(tidy(run), ddl).groupBy("kind", "i").agg(*(F.sum(n).alias(n) for n in names))
-        got = sums.toPandas()  # at most classes + states + 1 rows
+        got = sums.toPandas()  # at most classes + states + 2 rows
         new = Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
         for kind, into in ((0, new.emit), (1, new.step)):
             part = got[got["kind"] == kind]
             into[part["i"].to_numpy()] = part[names].to_numpy()
         start = got[got["kind"] == 2][names].to_numpy().sum(axis=0) + 1.0
+        likes.append(float(got[got["kind"] == 3][names].to_numpy().sum()))
         emit = new.emit + prior[:, None] * max(1.0, 0.001 * new.emit.sum() / k)
         step = new.step + 1.0 / k
         model = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return model
+    return model, likes
 
 
 def likelihoods(seqs: DataFrame, model: Model) -> DataFrame:
@@ -320,7 +383,7 @@ def lm_scores(docs: DataFrame, train: str = "train", rounds: int = ROUNDS) -> Da
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "train", utf8().alias("text"))
     seqs = written(coded(rows, vocab), "coded")
     prior = class_prior(vocab)
-    model = baum_welch(seqs.where("train"), first_model(vocab), prior, rounds)
+    model, _ = baum_welch(seqs.where("train"), first_model(vocab), prior, rounds)
     rare = seqs.select("rid", F.inline("rare"))
     told = rare.join(counts, "word", "left").select("rid", "n", F.coalesce("c", F.lit(0)).alias("c"))
     told = told.groupBy("rid").agg(
