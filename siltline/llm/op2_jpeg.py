@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import by_rows, table, utf8
+from .common import by_rows, table, utf8, written
 
 #: Blocks between restart markers, and intervals that are coded or decoded at once.
 RESTART, CODED, DECODED = 4, 1 << 12, 1 << 14
@@ -381,4 +381,4 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op2_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(table(spark, sf_dir, "documents")))
+    return features(written(store(table(spark, sf_dir, "documents")), "media"))
