@@ -21,8 +21,8 @@ from .common import arrow_schema, batched, held_out, table, tidy, utf8, written
 
 #: Trigram buckets as a power of two; the model is languages x buckets.
 BUCKETS = 15
-#: Languages that the model may have: its size is checked, labels beyond it raise.
-MAX_LANGUAGES = 1000
+#: Languages that the model learns: those with the most labelled rows, so that it stays below 26 MB.
+MAX_LANGUAGES = 200
 #: Rounds of expectation-maximisation, and nats for each language in the set and log word count.
 ROUNDS, PENALTY = 10, 1.0
 UNKNOWN = "und"
@@ -46,10 +46,11 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> np.uint32(32 - BUCKETS)).astype(np.int64), first, np.searchsorted(ends, at[first], "left")
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of a bucket in each) from the rows of docs (lang, text).
 
-    Rows with null lang or text teach nothing; without any the model has no language.
+    Rows with null lang or text teach nothing; without any the model has no language. Of more
+    than languages labels those with the most rows are learned, of equals the first by name.
     """
     batched(docs.sparkSession)
     ddl = "lang string, bucket int, n long"
@@ -69,14 +70,16 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     rows = docs.where("lang is not null and text is not null").select("lang", utf8().alias("text"))
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    langs = sorted(r.lang for r in top.collect())
+    if not langs:
+        return langs, np.zeros((0, 1 << BUCKETS))
+    rows = rows.where(F.col("lang").isin(langs))
     counts = written(rows.mapInArrow(tidy(run), ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    langs = [r[0] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
-    langs.sort()
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    got = counts.select(place.alias("lang"), "bucket", "n").toArrow()  # 16 bytes for each language and bucket at most
     n = np.zeros((len(langs), 1 << BUCKETS))
-    got = counts.toPandas()  # at most languages x buckets rows
-    n[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int), got["bucket"].to_numpy(int)] = got["n"]
+    n[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     n += 0.5
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
 
@@ -93,13 +96,15 @@ def _mixture(lik: np.ndarray, start: np.ndarray, size: np.ndarray, allowed: np.n
     return pi, np.add.reduceat(like, start)
 
 
-def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the language or -1, its proportion, size of the language set) of each text."""
+def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the language or -1, its proportion, size of the language set, whether the mixture
+    of all languages is at least as likely as trigrams at random) of each text."""
+    fits = np.zeros(len(texts), bool)
     best, score, chosen = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), int)
     letters = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
     bucket, first, owner = trigrams(texts)
     if not len(first) or not len(logp):
-        return best, score, chosen
+        return best, score, chosen, fits
     # each byte is in three trigrams, so a word's likelihood takes the cube root
     ll = np.stack([np.add.reduceat(p[bucket], first) for p in logp], axis=1) / 3
     top = ll.max(axis=1, keepdims=True)
@@ -126,8 +131,10 @@ def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at = todo[won]
         value[at], pred[at], share[at], count[at] = (like - m * cost[todo])[won], p[won].argmax(axis=1), p[won].max(axis=1), m
     ok = letters[docs]
+    random = np.bincount(owner, np.diff(np.r_[first, len(bucket)]), len(texts))[docs] / 3 * BUCKETS * np.log(2)
+    fits[docs] = ok & (full + np.add.reduceat(top[:, 0], start) >= -random)
     best[docs[ok]], score[docs[ok]], chosen[docs[ok]] = pred[ok], share[ok], count[ok]
-    return best, np.clip(score, 0, 1), chosen
+    return best, np.clip(score, 0, 1), chosen, fits
 
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -149,16 +156,29 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
-            best, score, m = infer(got, logp.value)
+            best, score, m, _ = infer(got, logp.value)
             cols = [pa.array([langs[i] for i in best]), pa.array(score), pa.array(m, pa.int32())]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, schema)), *cols], schema=schema)
 
     return docs.mapInArrow(tidy(run), ddl)
 
 
-def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray], min_score: float = 1 / 3) -> DataFrame:
-    """docs whose language is known with a proportion of at least min_score; columns stay."""
-    return with_language(docs.select("*"), model).where(F.col("lang_pred") != UNKNOWN).where(F.col("score") >= min_score).select(*docs.columns)
+def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """docs without the rows whose language is not known: null texts, texts without a letter, and
+    texts that no mixture of the model's languages explains as well as random trigrams do. A
+    mixture of known languages stays, however even. All columns stay as they are, whatever their
+    names; without a model every row goes.
+    """
+    batched(docs.sparkSession)
+    logp = docs.sparkSession.sparkContext.broadcast(model[1].astype(np.float32))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
+            yield b.filter(pa.array(infer(got, logp.value)[3]))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
