@@ -1,8 +1,9 @@
 """WARC revisit resolution: archives that hold each payload once.
 
-Headers alone are shuffled by payload digest to find each payload's first page; revisits then
-join the original responses, and the archives are written with fresh headers as plain WARC
-files by Spark's own writer, so any file system that Spark writes will do. Reading back parses
+Headers alone are shuffled by payload digest to find each payload's first page. Revisit records
+hold no payload, so they are made from the joined headers; payloads are only read again by the
+responses, a scan without the revisits. The archives are written with fresh headers as plain
+WARC files by Spark's own writer, so any file system that Spark writes will do. Reading back parses
 records by their Content-Length and checks the digests.
 """
 
@@ -16,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, by_rows, fresh_path, table, tidy, utf8, written
+from .common import arrow_schema, batched, by_rows, fresh_path, small, table, tidy, utf8, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes that an archive file should have.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes that an archive file should have, and those that it never exceeds by more than a record.
+ARCHIVE_BYTES, MOST_BYTES = 16 << 20, 1 << 30
 URN = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -34,10 +35,10 @@ def _clean(value: str | None) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in value or "")
 
 
-def warc_record(page_id: object, url: str | None, payload: bytes, digest: str, first: object, first_url: str | None, date: str) -> bytes:
-    """A response record, or a revisit record where first names another page."""
-    revisit = first is not None
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def warc_record(page_id: object, url: str | None, size: int, digest: str, payload: bytes | None, first: object, first_url: str | None, date: str) -> bytes:
+    """A response record of payload, or without payload a revisit record of the page first."""
+    revisit = payload is None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
@@ -86,27 +87,25 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     def heads(b: dict[str, list]) -> dict[str, list]:
         return b | {"digest": [payload_digest(x) for x in b["payload"]], "size": [len(x) for x in b["payload"]]}
 
-    digested = by_rows(src, heads, f"page_id {kind}, url string, payload binary, digest string, size long")
     headers = written(by_rows(src, heads, f"page_id {kind}, url string, digest string, size long"), "headers")
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     firsts = headers.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.where("n > 1 and first is not null").select("digest", "first"), "firsts")
-    stats = headers.agg(F.avg("size").alias("mean")).first()
-    joined = digested.join(firsts, "digest", "left")
-    revisits = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    ready = joined.select(
-        "page_id", "url", "payload", "digest",
-        F.when(revisits, F.col("first.page_id")).alias("first_id"),
-        F.when(revisits, F.col("first.url")).alias("first_url"),
-    )
+    again = headers.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    again = again.select("page_id", "url", "size", "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    again = written(again, "revisits")
+    gone = small(written(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct(), "revisit_keys"))
+    digested = by_rows(src, heads, f"page_id {kind}, url string, payload binary, digest string, size long")
+    whole = digested.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left_anti")
 
     def records(b: dict[str, list]) -> dict[str, list]:
-        cols = (b[n] for n in ("page_id", "url", "payload", "digest", "first_id", "first_url"))
+        cols = (b.get(n) or [None] * len(b["digest"]) for n in ("page_id", "url", "size", "digest", "payload", "first_id", "first_url"))
         return {"record": [warc_record(*row, date) for row in zip(*cols, strict=True)]}
 
-    per_file = max(1, int(ARCHIVE_BYTES // ((stats["mean"] or 0) + 600)))
-    out = by_rows(ready, records, "record binary").select(F.col("record").cast("string"))
-    out.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    stats = headers.agg(F.avg("size").alias("mean"), F.max("size").alias("most")).first()
+    per_file = max(1, min(int(ARCHIVE_BYTES // ((stats["mean"] or 0) + 600)), int(MOST_BYTES // ((stats["most"] or 0) + 600))))
+    out = by_rows(whole, records, "record binary").union(by_rows(again, records, "record binary"))
+    out.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
