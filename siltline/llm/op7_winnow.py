@@ -210,7 +210,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; columns as they are."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     bad = small(written(bad.distinct(), "contaminated"))
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h"))
+    on = docs["doc_id"].eqNullSafe(bad["d"]) & (F.xxhash64(docs["text"]) == bad["h"])
     return docs.join(bad, on, "left_anti")
 
 
