@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, table, tidy
+from .common import arrow_schema, batched, table, tidy, written
 from .op10_packing import encoder
 
 #: Reserved ids follow the vocabulary's 50,257 in this order.
@@ -129,7 +129,8 @@ def formatted(turns: DataFrame) -> DataFrame:
 
 
 def digests(parts: DataFrame) -> DataFrame:
-    """What a reader of formatted() output sees of each conversation; parts as formatted() gives."""
+    """What a reader of formatted() output sees of each conversation; parts as formatted() gives,
+    in any order. Parts of a conversation are read in order by one task, one part at a time."""
     kind = parts.schema["conv_id"].dataType.simpleString()
     ddl = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
     schema = arrow_schema(ddl)
@@ -165,10 +166,11 @@ def digests(parts: DataFrame) -> DataFrame:
         if state:
             yield row()
 
-    return parts.mapInArrow(tidy(run), ddl)
+    ordered = parts.select("conv_id", "part", "ids", "mask").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(tidy(run), ddl)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "SELECT -7L AS conv_id, t.* FROM VALUES (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') AS t(turn, role, text)"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
-    return digests(formatted(turns))
+    return digests(written(formatted(turns), "formatted"))
