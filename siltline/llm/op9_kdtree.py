@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over text metadata, with built-in DataFrame functions only.
 
-A node that stands for several shards is split along the dimension in which its rows spread
-widest, at the weighted median of row sizes (or at the fraction that its shards ask for). The
+A node that stands for several shards is split along the metadata dimension in which its rows
+spread widest, each dimension measured on its spread over all rows, at the weighted median of row sizes (or at the fraction that its shards ask for). The
 median is exact: four counting passes narrow a 63-bit sort key by 16 bits each, so a pass
 returns one row per node whatever the table's size. Dimensions and tie-breakers are functions
 of the text, so rows of equal texts stay together, unless such a group alone outweighs a set
@@ -25,12 +25,16 @@ BUCKET_ROWS = 20_000
 
 
 def default_dimensions() -> list[Column]:
-    """Size on a log scale, mean bytes a character, and the text's checksum; each from 0 to 1."""
-    chars = F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1))
+    """Metadata of a text: log size, bytes a character, share of letters, log number of lines,
+    characters a word. All are functions of the text, so equal texts have equal values."""
+    text = F.coalesce("text", F.lit(""))
+    chars = F.greatest(F.char_length(text), F.lit(1)).cast("double")
     return [
-        F.log2(F.col("size").cast("double")) / 40,
-        F.least((F.col("size") - 1) / chars / 4, F.lit(1.0)),
-        F.col("text_crc32") / 4294967296.0,
+        F.log2(F.col("size").cast("double")),
+        (F.col("size") - 1) / chars,
+        F.regexp_count(text, F.lit(r"\p{L}")) / chars,
+        F.log2(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1.0),
+        F.log2(chars / (F.regexp_count(text, F.lit(r"\s+")) + 1.0) + 1.0),
     ]
 
 
@@ -61,19 +65,26 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     Leaves are `shards` many, or as many as reach target_bytes. size: UTF-8 bytes plus 1 (null:
     1). slot numbers a shard's rows without gaps. Repeated rows and null ids stay; equal texts
     share a shard unless their bytes exceed GROUP_SHARE of one. Fewer rows or groups than
-    shards leave some shards empty; an empty table gives an empty result.
+    shards leave some shards empty; an empty table gives an empty result. dimensions: numeric
+    columns of docs' text; null counts as 0. Ties along a dimension go by the text's hash.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     base = docs.select("doc_id", "text", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     dims = dimensions or default_dimensions()
     names = [f"d{i}" for i in range(len(dims))]
-    scaled = [(F.least(F.greatest(F.coalesce(d, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * ((1 << DIM_BITS) - 1)).cast("long").alias(n) for n, d in zip(names, dims, strict=True)]
-    flat = base.select("doc_id", "size", "text_crc32", F.xxhash64("text").alias("h"), *scaled, F.monotonically_increasing_id().alias("mid"))
+    raw = [F.coalesce(d.cast("double"), F.lit(0.0)).alias(n) for n, d in zip(names, dims, strict=True)]
+    flat = base.select("doc_id", "size", "text_crc32", F.xxhash64("text").alias("h"), *raw, F.monotonically_increasing_id().alias("mid"))
     flat = written(flat, "flat")
-    total = flat.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    ends = [f(n).alias(f"{at}_{n}") for n in names for f, at in ((F.min, "lo"), (F.max, "hi"))]
+    total = flat.agg(F.sum("size").alias("b"), F.count("*").alias("n"), *ends).first()
     if not total.n:
         return flat.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    # every dimension on its own spread, so that the widest in a node is the least narrowed one
+    for n in names:
+        lo, wide = total[f"lo_{n}"], total[f"hi_{n}"] - total[f"lo_{n}"]
+        whole = F.least((F.col(n) - lo) / wide, F.lit(1.0)) * ((1 << DIM_BITS) - 1) if wide > 0 else F.lit(0)
+        flat = flat.withColumn(n, whole.cast("long"))
     leaves = shards or max(1, -(-total.b // target_bytes))
     # rows of groups that outweigh their share of a shard: at most leaves / GROUP_SHARE groups
     hot = flat.groupBy("h", F.col("size").alias("s")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
