@@ -71,10 +71,77 @@ def test_forward_equals_enumeration():
             total += p
         assert math.isclose(got, math.log(total), rel_tol=1e-12)
     total = op1_hmm.Model(np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)))
-    op1_hmm.expected_counts(seqs, m, total)
+    like = op1_hmm.expected_counts(seqs, m, total)
+    assert math.isclose(like, sum(op1_hmm.forward(seqs, m)), rel_tol=1e-5)
     assert np.isclose(total.emit.sum(), 5, atol=1e-4) and np.isclose((total.step * m.step).sum(), 3, atol=1e-4) and np.isclose(total.start.sum(), 2, atol=1e-4)
 
 
+def test_pieces_do_not_change_expected_counts():
+    """Against forward-backward over the whole sequence in plain loops."""
+    rng = np.random.default_rng(2)
+    k, m = 3, 7
+    model = op1_hmm.Model(rng.dirichlet([1] * k), rng.dirichlet([1] * k, k), rng.dirichlet([1] * m, k).T)
+    seqs = [rng.integers(0, m, n).astype(np.uint16) for n in (1, 5, 16, 17, 40, 133)]
+    want = op1_hmm.Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
+    for s in seqs:
+        a, b = np.zeros((len(s), k)), np.ones((len(s), k))
+        a[0] = model.start * model.emit[s[0]]
+        for t in range(1, len(s)):
+            a[t] = a[t - 1] @ model.step * model.emit[s[t]]
+        for t in range(len(s) - 2, -1, -1):
+            b[t] = model.step @ (model.emit[s[t + 1]] * b[t + 1])
+        p = a[-1].sum()
+        want.start[:] += a[0] * b[0] / p
+        for t in range(len(s)):
+            want.emit[s[t]] += a[t] * b[t] / p
+            if t:
+                want.step[:] += np.outer(a[t - 1], model.emit[s[t]] * b[t]) * model.step / p
+    for size in (1, 4, 16, 1024):
+        got = op1_hmm.Model(np.zeros(k), np.zeros((k, k)), np.zeros((m, k)))
+        like = op1_hmm.expected_counts(seqs, model, got, size)
+        assert math.isclose(like, op1_hmm.forward(seqs, model).sum(), rel_tol=1e-5)
+        for x, y in zip((got.start, got.step * model.step, got.emit), want):
+            assert np.allclose(x, y, atol=2e-3)
+
+
+def test_hmm_against_brute_force(spark):
+    """Base score, counts and score of every row from definitions, with rare, long and unknown words."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    words = ["Aa", "b", "cé", "\0nul", "=" * 80, "-" * 70 + "X", *(f"w{i}" for i in range(12))]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 30, 40)] + [None, "", "new words only", "=" * 80 + "\n" + "q" * 90]
+    rows = [(i, t, i < 36) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r.doc_id: r for r in op1_hmm.lm_scores(df, rounds=2).collect()}
+    low = [bytes(t or "", "utf-8").lower().split() for t in texts]
+    count = Counter(w for i, ws in enumerate(low) if i < 36 for w in ws)
+    n = sum(count.values()) + 36
+    v = len(count) + 1
+    counts = op1_hmm.word_counts(df.where("train"))
+    vocab = op1_hmm.vocabulary(counts, 36)
+    assert sorted(vocab.counts) == sorted(count.values()) and {op1_hmm.word_key(w) for w in count} == {w.encode() for w in vocab.words}
+    seqs = op1_hmm.coded(df.select(F.col("doc_id").alias("rid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "train"), vocab)
+    model, likes = op1_hmm.baum_welch(seqs.where("train"), op1_hmm.first_model(vocab), op1_hmm.class_prior(vocab), 2)
+    assert likes[1] > likes[0]
+    place = {w: i for i, w in enumerate(vocab.words)}
+    for i, ws in enumerate(low):
+        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws) + math.log10((36 + 0.1) / (n + 0.1 * (v + 1)))
+        ids, share = [], 0.0
+        for w in ws:
+            key = op1_hmm.word_key(w).decode()
+            if key in place and place[key] < op1_hmm.OWN:
+                ids.append(place[key] + 1)
+            else:
+                g = op1_hmm.key_hash(op1_hmm.word_key(w)) % op1_hmm.HASHED
+                ids.append(op1_hmm.OWN + 1 + g)
+                share += math.log10((count[w] + 0.1) / (vocab.class_sum[g] + 0.1 * (vocab.class_size[g] + 1)))
+        like = op1_hmm.forward([np.array([*ids, 0])], model)[0]
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(w in count for w in ws) + 1, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, like / math.log(10) + share, rel_tol=1e-6)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=700), min_size=1, max_size=4))
 def test_jpeg_round_trip(payloads):
@@ -161,6 +228,11 @@ def test_licenses(docs):
     got = scan("É SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\n".encode())
     assert got[5] == "bsd-3-clause,gpl-2.0-only-with-classpath-exception-2.0,mit" and got[7] is True
     assert op6_license.postfix(["mit", "or", "isc", "and", "bsd"]) == ["mit", "isc", "bsd", "and", "or"]
+    turkish = "İ SPDX-License-Identifier: MIT\n".encode()
+    assert scan(turkish)[5] == "mit" and scan(b'{"license": "MIT OR Apache-2.0"}')[5] == "apache-2.0,mit" and scan(b"license: see the file")[5] == ""
+    assert op6_license.longest("( a or b ) with c".split()) == (["a", "b", "or"], 5) and op6_license.longest("a with b with c".split())[1] == 3
+    many = "SPDX-License-Identifier: " + " OR ".join(f"l{i}" for i in range(60_000)) + " AND ("
+    assert len(scan(many.encode())[5].split(",")) == 60_000
     for bad in (["and"], ["mit", "mit"], ["(", "mit"], ["mit", ")"], [], ["mit", "or"]):
         assert op6_license.postfix(bad) is None
     assert scan(b"license-expression: MIT is a license")[5] == "mit"
