@@ -97,8 +97,8 @@ def _mixture(lik: np.ndarray, start: np.ndarray, size: np.ndarray, allowed: np.n
 
 
 def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the language or -1, its proportion, size of the language set, whether the mixture
-    of all languages is at least as likely as trigrams at random) of each text."""
+    """(index of the language or -1, its proportion, size of the language set, whether the
+    text or half of its words are at least as likely in its mixture as trigrams at random) of each text."""
     fits = np.zeros(len(texts), bool)
     best, score, chosen = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), int)
     letters = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
@@ -131,8 +131,10 @@ def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         at = todo[won]
         value[at], pred[at], share[at], count[at] = (like - m * cost[todo])[won], p[won].argmax(axis=1), p[won].max(axis=1), m
     ok = letters[docs]
-    random = np.bincount(owner, np.diff(np.r_[first, len(bucket)]), len(texts))[docs] / 3 * BUCKETS * np.log(2)
-    fits[docs] = ok & (full + np.add.reduceat(top[:, 0], start) >= -random)
+    word = top[:, 0] + np.log(np.maximum((lik * np.repeat(pi, size, axis=0)).sum(axis=1), 1e-300))
+    gain = word + np.diff(np.r_[first, len(bucket)]) / 3 * BUCKETS * np.log(2)
+    most = 2 * np.add.reduceat(gain >= 0, start, dtype=np.int64) >= size
+    fits[docs] = ok & (most | (np.add.reduceat(gain, start) >= 0))
     best[docs[ok]], score[docs[ok]], chosen[docs[ok]] = pred[ok], share[ok], count[ok]
     return best, np.clip(score, 0, 1), chosen, fits
 
@@ -165,7 +167,8 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
 
 def known_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs without the rows whose language is not known: null texts, texts without a letter, and
-    texts that no mixture of the model's languages explains as well as random trigrams do. A
+    texts that are less likely in their mixture of languages than as random trigrams, as a whole
+    and in most of their words. A
     mixture of known languages stays, however even. All columns stay as they are, whatever their
     names; without a model every row goes.
     """
