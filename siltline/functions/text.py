@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = "[ \\t\\n\\x0b\\f\\r]"
+#: Unicode white space as a class of Java and, with other escapes, of RE2.
+SPACE = r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE_RE2 = SPACE.replace(r"\x85\xa0", r"\x{85}\x{a0}").replace(r"\u1680", r"\x{1680}").replace(r"\u3000", r"\x{3000}")
+SPACE_RE2 = SPACE_RE2.replace(r"\u2000-\u200a\u2028\u2029\u202f\u205f", r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}")
 #: A line that starts an edit note.
-EDIT_LINE = f"(?i)^{SPACE}*(edit|update)\\b"
+EDIT_LINE = rf"(?i)^{SPACE}*(edit|update)([^\p{{L}}\p{{N}}_]|$)"
+
+#: Characters that lower-casing leaves and full case folding changes, by Unicode's own rule.
+FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).lower() == chr(c) != chr(c).casefold()}
+ONE = {k: v for k, v in FOLDED.items() if len(v) == 1}
+MANY = {k: v for k, v in FOLDED.items() if len(v) > 1 and k != "ß"}
+
+
+def char_class(chars: Iterable[str]) -> str:
+    """A regular expression's class of the characters, runs as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in runs) + "]"
+
 
 #: Secrets and their replacements, applied in this order (fixed values).
 SECRETS = (
     (r"\bsk-[A-Za-z0-9_\-]{16,}\b", "[REDACTED]"),
     (r"(?i)\b(bearer)\s+[A-Za-z0-9._\-]{16,}", "$1 [REDACTED]"),
     (r"(?i)\b(api[_-]?key|apikey|token|secret|password|passwd|pwd)(\"?\s*[:=]\s*\"?)([^\s\",;}]{6,})", "$1$2[REDACTED]"),
-    (r"\b([A-Za-z0-9_\-]{4,}):([^\s:@/]{4,})@([\w.\-]+:\d+)", "[REDACTED]@$3"),
-    (r"\b(bot)?(\d{8,12}):[A-Za-z0-9_\-]{35}\b", "[REDACTED]"),
+    (r"\b([A-Za-z0-9_\-]{4,}):([^\s:@/]{4,})@([\w.\-]+:\d+)", "$1:[REDACTED]@$3"),
+    (r"\b(bot)?(\d{8,12}):[A-Za-z0-9_\-]{35}\b", "$1$2:[REDACTED]"),
 )
 
 
@@ -27,21 +49,34 @@ def strip_trailing_edits(text: Column) -> Column:
     return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(text)
 
 
+def casefold(text: Column) -> Column:
+    """Full case folding. Texts with one of the rare characters that become several are folded
+    character by character."""
+    t = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "".join(ONE), "".join(ONE.values()))
+    table = F.create_map(*(F.lit(x) for pair in MANY.items() for x in pair))
+    rare = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(t.rlike(char_class(MANY)), rare).otherwise(t)
+
+
 def dedup_normal(text: Column) -> Column:
     """Folded text without edit notes, emphasis marks and repeated blanks; null is empty."""
-    t = F.lower(strip_trailing_edits(F.coalesce(text, F.lit(""))))
-    t = F.replace(t, F.lit("ß"), F.lit("ss"))
+    t = casefold(strip_trailing_edits(F.coalesce(text, F.lit(""))))
     return F.btrim(F.regexp_replace(F.regexp_replace(t, "[*_~`]", ""), f"{SPACE}+", " "))
 
 
+def cache_normal(text: Column) -> Column:
+    """Folded text without what follows an edit mark, emphasis marks and repeated blanks."""
+    t = F.regexp_replace(text, rf"(?is)\n*{SPACE}*(edit|update){SPACE}*[0-9]*{SPACE}*:.*$", "")
+    return casefold(F.btrim(F.regexp_replace(F.regexp_replace(t, "[*_~`]+", ""), f"{SPACE}+", " ")))
+
+
 def content_hash(title: Column, body: Column) -> Column:
     return F.sha2(F.concat(dedup_normal(title), F.lit("\n"), dedup_normal(body)), 256)
 
 
 def keyword_normal(text: Column) -> Column:
     """Folded words with one blank between them; ASCII punctuation parts words."""
-    t = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    return F.btrim(F.regexp_replace(t, r"[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+", " "))
+    return F.btrim(F.regexp_replace(casefold(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x5E\x60\x7B-\x7F]+", " "))
 
 
 def shingles(text: Column, k: int = 5) -> Column:

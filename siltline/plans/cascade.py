@@ -7,17 +7,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, dedup_normal, shingles
+from ..functions.text import SPACE_RE2, content_hash, dedup_normal, shingles
 from ..operators import latest, sketch
+from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
 
-_S = r"[ \t\n\x0b\f\r]"
+_S = SPACE_RE2
 
 
 def _cut(x: str) -> str:
     lines = f"string_split({x}, chr(10))"
-    marks = f"list_position(list_transform({lines}, lambda l: regexp_matches(l, '(?i)^{_S}*(edit|update)\\b')), true)"
+    marks = f"list_position(list_transform({lines}, lambda l: regexp_matches(l, '(?i)^{_S}*(edit|update)([^\\pL\\pN_]|$)')), true)"
     return f"CASE WHEN coalesce({marks}, 0) > 0 THEN array_to_string({lines}[1:coalesce({marks}, 0) - 1], chr(10)) ELSE {x} END"
 
 
@@ -80,7 +81,7 @@ JACCARD = 0.8
 
 @query(
     "jaccard_pairs",
-    f"""WITH {LEADS_SQL}, t AS (SELECT id, {_norm("substr(title, 1, 200)")} AS t FROM leads),
+    f"""WITH {LEADS_SQL}, t AS (SELECT id, {_norm("title")} AS t FROM leads),
 d AS (SELECT min(id) AS id, t FROM t WHERE t <> '' GROUP BY t),
 s AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) AS g FROM d),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
@@ -88,16 +89,13 @@ p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM s a JOIN s b ON a.g =
 SELECT a, b, CAST(round(shared / (x.n + y.n - shared)::DOUBLE, 6) AS DOUBLE) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE shared / (x.n + y.n - shared)::DOUBLE >= {JACCARD}""",
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """title_pairs over the first 200 characters of titles, as the SQL has it."""
-    return title_pairs(leads(spark, sf_dir).select("id", F.substring("title", 1, 200).alias("title")))
-
-
-@query("jaccard_pairs_whole")
-def jaccard_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """title_pairs over whole titles."""
     return title_pairs(leads(spark, sf_dir))
 
 
+query("jaccard_pairs_whole")(jaccard_pairs)
+
+
 def title_pairs(posts: DataFrame) -> DataFrame:
     """Distinct titles whose shingle sets have an exact Jaccard similarity of 0.8 or more.
 
@@ -131,7 +129,59 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("minhash_groups")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.near_groups(sketched(spark, sf_dir))
+    """The near tier alone: (key, head) of distinct texts in groups of several."""
+    return sketch.near_groups(sketched(spark, sf_dir)).where("size > 1").select("key", "head")
+
+
+def cascade(posts: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
+    """(id, grp, joined, method, similarity) of every member of a duplicate group of the three tiers.
+
+    posts: id, title, body. Equal hashes are an exact group; single texts join groups, or open
+    them, by MinHash similarity and then by cosines (a, b, cosine; ids), each only if similar to
+    all members. grp is the group's smallest id, similarity the best one measured, null for
+    groups that are exact only. A title and body without text take part in the exact tier alone.
+    """
+    text = F.concat_ws("\n", F.nullif(dedup_normal(F.col("title")), F.lit("")), F.nullif(dedup_normal(F.col("body")), F.lit("")))
+    rows = posts.select("id", content_hash(F.col("title"), F.col("body")).alias("hash"), text.alias("text"))
+    texts = rows.groupBy("hash").agg(F.min("id").alias("key"), F.count("*").alias("n"), F.first("text").alias("text"))
+    texts = written(texts.select("hash", "key", (F.col("n") > 1).alias("held"), "text"), "texts")
+    ids = written(rows.select("id", "hash").join(texts.select("hash", "key", "held"), "hash"), "ids")
+    if cosines is not None:
+        a, b = ids.select(F.col("id").alias("a"), F.col("key").alias("x")), ids.select(F.col("id").alias("b"), F.col("key").alias("y"))
+        cosines = cosines.join(a, "a").join(b, "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("cosine").alias("cosine"))
+    near = sketch.near_groups(texts.select("key", "text", "held"), cosines=cosines)
+    joined = F.when(F.col("held"), sketch.EXACT).otherwise(F.col("joined"))
+    return ids.join(near, "key").select("id", F.col("head").alias("grp"), joined.alias("joined"), "method", "similarity")
+
+
+def _cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = leads(spark, sf_dir)
+    rank = F.struct(F.col("score").isNotNull(), F.coalesce("score", F.lit(0)), -F.col("age_hours"), F.col("id"))
+    return cascade(posts, near_vectors(table(spark, sf_dir, "embeddings"))).join(posts.select("id", rank.alias("rank")), "id")
+
+
+@query("duplicate_groups")
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a group of the cascade: representative, size, method and similarity. An embedding
+    counts as that of the post with its number."""
+    return _cascaded(spark, sf_dir).groupBy("grp", "method", "similarity").agg(F.max_by("id", "rank").alias("representative"), F.count("*").alias("member_count"))
+
+
+@query("duplicate_members")
+def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of a group, whether it stands for it, and by which reason others are rejected."""
+    rows = written(_cascaded(spark, sf_dir), "members")
+    best = rows.groupBy("grp").agg(F.max_by("id", "rank").alias("representative"))
+    mine = F.col("id") == F.col("representative")
+    reason = F.when(mine, None).when(F.col("joined") == sketch.EXACT, "duplicate_exact").otherwise("duplicate_near")
+    return rows.join(best, "grp").select("id", "grp", mine.alias("is_representative"), "joined", reason.alias("reason"))
+
+
+@query("membership_faults", f"WITH {HASHED_SQL} SELECT id, count(*) AS n FROM (SELECT id, hash FROM hashed GROUP BY ALL) GROUP BY id HAVING count(*) > 1")
+def membership_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that are in more than one exact group; a table of posts has none."""
+    pairs = hashed(spark, sf_dir).select("id", "hash").distinct()
+    return pairs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 COSINE = 0.9

@@ -145,10 +145,10 @@ stages AS (SELECT 'metadata' AS stage, {_gate} AS reason FROM triaged
 
 def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stage, reason) of every lead in the metadata and the full stage; null is admitted."""
-    posts = leads(spark, sf_dir)
-    first = triaged(posts).select(F.lit("metadata").alias("stage"), rules.to_gate(F.col("t_reason")).alias("reason"))
+    rows = scored(judged(triaged(leads(spark, sf_dir))))
     below = F.when(F.col("reason").isNull() & (F.col("total") < FLOOR), "below_prescore").otherwise(F.col("reason"))
-    return first.union(scored(judged(posts)).select(F.lit("full"), below))
+    both = [F.struct(F.lit(n).alias("stage"), r.alias("reason")) for n, r in (("metadata", rules.to_gate(F.col("t_reason"))), ("full", below))]
+    return rows.select(F.inline(F.array(*both)))
 
 
 @query(

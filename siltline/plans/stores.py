@@ -18,20 +18,17 @@ def existing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "filter_new",
-    f"""WITH {LEADS_SQL}, keyed AS (SELECT id, subreddit || ':' || substr(title, 1, 12) AS k FROM leads),
+    f"""WITH {LEADS_SQL}, keyed AS (SELECT id, subreddit || ':' || title AS k FROM leads),
 stored AS (SELECT k FROM keyed WHERE id % 10 = 3) SELECT min(id) AS id, k FROM keyed WHERE k NOT IN (SELECT k FROM stored) GROUP BY k""",
 )
 def filter_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """new_posts by the first 12 characters of titles, as the SQL has it."""
-    return new_posts(leads(spark, sf_dir).withColumn("title", F.substring("title", 1, 12)))
-
-
-@query("filter_new_whole")
-def filter_new_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """new_posts by whole titles."""
     return new_posts(leads(spark, sf_dir))
 
 
+query("filter_new_whole")(filter_new)
+
+
 def new_posts(posts: DataFrame) -> DataFrame:
     """The first post of each subreddit and title that is not stored."""
     keyed = posts.select("id", F.concat("subreddit", F.lit(":"), "title").alias("k"))

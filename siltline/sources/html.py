@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -73,3 +74,24 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": b["page_id"], **{n: [g[i] for g in got] for i, n in enumerate(("title", "text", "links", "labels"))}})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, text string, links array<string>, labels array<string>")
+
+
+def own_links(pages: DataFrame) -> DataFrame:
+    """page_id, base (the page's url) and links: the page's absolute http links to its own host,
+    without query and fragment, of every page (page_id, url, html)."""
+
+    def of(base: str, found: list[str]) -> list[str]:
+        out = []
+        for href in map(str.strip, found):
+            if href and not href.startswith(("#", "mailto:", "tel:", "javascript:")):
+                u = urlsplit(urljoin(base, href))
+                if u.scheme in ("http", "https") and u.netloc.lower() == urlsplit(base).netloc.lower():
+                    out.append(f"{u.scheme}://{u.netloc.lower()}{u.path}")
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            links = [of(u or "", read_page(h)[2]) for u, h in zip(b["url"], b["html"])]
+            yield pd.DataFrame({"page_id": b["page_id"], "base": b["url"], "links": links})
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, base string, links array<string>")

@@ -65,9 +65,9 @@ def test_signatures():
 
 
 def test_linkage_is_complete():
-    sig = {1: np.array([1, 1, 1, 1]), 2: np.array([1, 1, 1, 2]), 3: np.array([1, 1, 2, 2])}
-    sims = {(1, 2): 0.75, (2, 3): 0.75}
-    assert sketch.linked([1, 2, 3], sims, sig, 0.75) == {1: 1, 2: 1}
+    sig = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 2, 2]])
+    got = sketch.linked(np.array([1, 2, 3]), np.zeros(3, bool), sig, np.ones(3, bool), [], 0.75, bands=4)
+    assert got.members == [[1, 2]] and got.method == ["minhash"] and got.best == [0.75]
 
 
 def test_pages():
