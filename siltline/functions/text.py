@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,20 +15,12 @@ EDIT_LINE = rf"(?i)^{SPACE}*(edit|update)([^\p{{L}}\p{{N}}_]|$)"
 #: Characters that lower-casing leaves and full case folding changes, by Unicode's own rule.
 FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).lower() == chr(c) != chr(c).casefold()}
 ONE = {k: v for k, v in FOLDED.items() if len(v) == 1}
+#: A text without such characters needs no more than Latin letters and ASCII blanks.
+RARE = r"[^\x00-\x84\x86-\x9f\xa1-\u0148]"
+_BLANK = r"[\t-\r \x1c-\x1f]+"
 MANY = {k: v for k, v in FOLDED.items() if len(v) > 1 and k != "ß"}
 
 
-def char_class(chars: Iterable[str]) -> str:
-    """A regular expression's class of the characters, runs as ranges."""
-    runs: list[list[int]] = []
-    for c in sorted(map(ord, chars)):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in runs) + "]"
-
-
 #: Secrets and their replacements, applied in this order (fixed values).
 SECRETS = (
     (r"\bsk-[A-Za-z0-9_\-]{16,}\b", "[REDACTED]"),
@@ -49,19 +39,32 @@ def strip_trailing_edits(text: Column) -> Column:
     return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(text)
 
 
-def casefold(text: Column) -> Column:
-    """Full case folding. Texts with one of the rare characters that become several are folded
-    character by character."""
-    t = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "".join(ONE), "".join(ONE.values()))
+def _rare(text: Column) -> Column:
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(RARE)  # ASCII texts are told by their length
+
+
+def _latin_fold(text: Column) -> Column:
+    """Case folding of a text without rare characters."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+
+
+def _full_fold(text: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in MANY.items() for x in pair))
-    rare = F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(t.rlike(char_class(MANY)), rare).otherwise(t)
+    one = F.translate(_latin_fold(text), "".join(ONE), "".join(ONE.values()))
+    return F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding. Texts with rare characters are folded character by character."""
+    return F.when(_rare(text), _full_fold(text)).otherwise(_latin_fold(text))
 
 
 def dedup_normal(text: Column) -> Column:
     """Folded text without edit notes, emphasis marks and repeated blanks; null is empty."""
-    t = casefold(strip_trailing_edits(F.coalesce(text, F.lit(""))))
-    return F.btrim(F.regexp_replace(F.regexp_replace(t, "[*_~`]", ""), f"{SPACE}+", " "))
+    t = strip_trailing_edits(F.coalesce(text, F.lit("")))
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(_latin_fold(t), "[*_~`]", ""), _BLANK, " "))
+    full = F.btrim(F.regexp_replace(F.regexp_replace(_full_fold(t), "[*_~`]", ""), f"{SPACE}+", " "))
+    return F.when(_rare(t), full).otherwise(plain)
 
 
 def cache_normal(text: Column) -> Column:
