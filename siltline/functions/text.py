@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ SECRETS = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is made once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_trailing_edits(text: Column) -> Column:
     """The lines before the first edit note."""
     lines = F.split(text, "\n", -1)

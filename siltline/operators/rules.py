@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_normal
+from ..functions.text import bound, keyword_normal
 
 # Fixed values of the rule engine.
 BOT_AUTHORS = ("automoderator", "autotldr", "remindmebot", "sneakpeekbot", "totesmessenger", "wikitextbot", "imagesofnetwork", "savevideo")
@@ -54,8 +54,7 @@ def check_negative(text: Column, terms: tuple[str, ...]) -> Column:
     """The first term, in the given order, that occurs in text as normalised words."""
     if not terms:
         return F.lit(None).cast("string")
-    norm = keyword_normal(text)
-    return first_of(*((F.contains(norm, keyword_normal(F.lit(t))), F.lit(t)) for t in terms))
+    return bound(keyword_normal(text), lambda norm: first_of(*((F.contains(norm, keyword_normal(F.lit(t))), F.lit(t)) for t in terms)))
 
 
 def check_length(text: Column, least: int) -> Column:
@@ -63,8 +62,8 @@ def check_length(text: Column, least: int) -> Column:
     return F.when(n < least, F.concat(n.cast("string"), F.lit(f" < {least}")))
 
 
-def hard_filter(least: int, terms: tuple[str, ...], window_days: int) -> tuple[Column, Column]:
-    """(reason, detail) of the first rejection of a lead; both null for an admitted one."""
+def hard_filter(least: int, terms: tuple[str, ...], window_days: int) -> Column:
+    """A struct (reason, detail) of the first rejection of a lead; null for an admitted one."""
     text = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.nullif(F.col("body"), F.lit("")))
     checks = (
         ("out_of_window", F.when(F.col("age_hours") > 24 * window_days, F.lit("age"))),
@@ -73,7 +72,8 @@ def hard_filter(least: int, terms: tuple[str, ...], window_days: int) -> tuple[C
         ("negative_term", check_negative(F.concat_ws("\n", F.col("title"), text), terms)),
         ("too_short", check_length(text, least)),
     )
-    return first_of(*((d.isNotNull(), F.lit(r)) for r, d in checks)), F.coalesce(*(d for _, d in checks))
+    told = lambda reason: lambda d: F.when(d.isNotNull(), F.struct(F.lit(reason).alias("reason"), d.alias("detail")))
+    return F.coalesce(*(bound(d, told(r)) for r, d in checks))
 
 
 def triage(terms: tuple[str, ...], keywords: tuple[str, ...], window_days: int) -> tuple[Column, Column]:
@@ -91,7 +91,7 @@ def triage(terms: tuple[str, ...], keywords: tuple[str, ...], window_days: int)
     return reason, F.when(reason.isNull(), F.least(hits, F.lit(5)) * 20.0).otherwise(0.0)
 
 
-#: Metadata reasons in the vocabulary of the full gate; those that keep their name as detail.
+# Fixed values of the gate: metadata reasons in its vocabulary, and reasons that are never sampled.
 TO_GATE = {
     "no_title": "too_short",
     "bot_author": "bot_or_deleted",

@@ -44,8 +44,8 @@ judged AS (SELECT *, CASE WHEN c1 IS NOT NULL THEN 'out_of_window' WHEN c2 IS NO
 
 
 def judged(df: DataFrame) -> DataFrame:
-    reason, detail = rules.hard_filter(LEAST, NEGATIVE, WINDOW)
-    return df.withColumn("reason", reason).withColumn("detail", detail)
+    df = df.withColumn("verdict", rules.hard_filter(LEAST, NEGATIVE, WINDOW))
+    return df.withColumn("reason", F.col("verdict.reason")).withColumn("detail", F.col("verdict.detail"))
 
 
 @query("rule_author", f"WITH {LEADS_SQL} SELECT id, {AUTHOR_SQL} AS detail FROM leads")
