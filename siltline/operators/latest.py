@@ -41,10 +41,3 @@ def upsert(old: DataFrame, new: DataFrame, key: str, values: list[str], protecte
     action = F.when(F.col(f"o.{key}").isNull(), "insert").when(keep, "keep").otherwise("update")
     picked = [F.when(F.col(f"o.{key}").isNotNull() & keep, F.col(f"o.{v}")).otherwise(F.col(f"n.{v}")).alias(v) for v in values]
     return joined.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), *picked, action.alias("action"))
-
-
-def nearest_rank(values: Column, share: float) -> Column:
-    """The nearest-rank quantile with truncation, sorted[min(n - 1, int(n * share))], of a group."""
-    ordered = F.sort_array(F.collect_list(values))
-    n = F.size(ordered)
-    return F.get(ordered, F.least(n - 1, F.floor(n * share).cast("int")))
