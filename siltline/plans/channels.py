@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import latest
 from ..sources.tables import EVENTS_SQL, events
 from .registry import query
 
@@ -85,9 +86,9 @@ SELECT channel, max(run) AS longest, max(run) >= 3 AS blacklisted, CAST(sum(run)
 )
 def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest run of consecutive failures of an exit; three in a row blacklist it."""
-    w = Window.partitionBy("channel").orderBy("second", "id")
-    island = F.sum(F.when(F.col("event_type") != "error", 1).otherwise(0)).over(w)
-    runs = events(spark, sf_dir).withColumn("island", island).groupBy("channel", "island").agg(F.count_if(F.col("event_type") == "error").alias("run"))
+    log = events(spark, sf_dir).select("channel", "id", "second", (F.col("event_type") == "error").alias("bad"))
+    log = latest.running(log, ["channel"], F.floor(F.col("second") / 3600), ["second", "id"], island=F.when(F.col("bad"), 0).otherwise(1))
+    runs = log.groupBy("channel", "island").agg(F.count_if("bad").alias("run"))
     return runs.groupBy("channel").agg(F.max("run").alias("longest"), (F.max("run") >= 3).alias("blacklisted"), F.sum("run").alias("failures"))
 
 
@@ -140,8 +141,12 @@ _legal = " OR ".join(f"(prev = '{a}' AND state = '{b}')" for a, bs in MOVES.item
 @query("illegal_moves", f"WITH {EVENTS_SQL}, p AS (SELECT id, lag(state) OVER (PARTITION BY channel ORDER BY second, id) AS prev, state FROM log) SELECT prev, state, count(*) AS n FROM p WHERE prev IS NOT NULL AND NOT ({_legal}) GROUP BY ALL")
 def illegal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State changes that the table of legal moves does not have."""
-    prev = F.lag("state").over(Window.partitionBy("channel").orderBy("second", "id"))
-    moves = events(spark, sf_dir).select(prev.alias("prev"), "state").where("prev IS NOT NULL").groupBy("prev", "state").agg(F.count("*").alias("n"))
+    last = F.max(F.struct("second", "id", "state")).alias("last")
+    earlier = lambda w: [F.lag("last.state").over(w).alias("earlier")]
+    log = events(spark, sf_dir).select("channel", "id", "second", "state")
+    log = latest.by_buckets(log, ["channel"], F.floor(F.col("second") / 3600), [last], earlier)
+    prev = F.coalesce(F.lag("state").over(Window.partitionBy("channel", "_bucket").orderBy("second", "id")), "earlier")
+    moves = log.select(prev.alias("prev"), "state").where("prev IS NOT NULL").groupBy("prev", "state").agg(F.count("*").alias("n"))
     legal = [F.struct(F.lit(a).alias("prev"), F.lit(b).alias("state")) for a, bs in MOVES.items() for b in bs]
     return moves.where(~F.array_contains(F.array(*legal), F.struct("prev", "state")))
 

@@ -142,9 +142,9 @@ SELECT run_id, min(calls) AS call, CASE WHEN min(calls) FILTER (spent > 1000000)
 )
 def budget_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first call of each run that goes over the ceiling of calls or of spend."""
-    w = Window.partitionBy("run_id").orderBy("second", "id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = F.sum(F.expr("cached + uncached * 10 + out_tokens * 40")).over(w)
-    rows = events(spark, sf_dir).select("run_id", F.count("*").over(w).alias("calls"), spent.alias("spent"))
+    units = F.expr("cached + uncached * 10 + out_tokens * 40")
+    log = events(spark, sf_dir).select("run_id", "id", "second", units.alias("units"))
+    rows = latest.running(log, ["run_id"], F.floor(F.col("second") / 3600), ["second", "id"], calls=F.lit(1), spent=F.col("units"))
     over = rows.where("calls > 150 OR spent > 1000000").groupBy("run_id")
     by_spend = F.min(F.when(F.col("spent") > 1000000, F.col("calls"))) <= 150
     return over.agg(F.min("calls").alias("call"), F.when(by_spend, "spend").otherwise("calls").alias("ceiling"))

@@ -109,10 +109,12 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of a record with the time at which the next one closed it."""
-    w = Window.partitionBy("run_id").orderBy("second", "id")
-    rows = events(spark, sf_dir).where("event_type = 'purchase'")
-    closed = F.lead("second").over(w)
-    return rows.select("run_id", "id", F.row_number().over(w).cast("long").alias("version"), closed.alias("superseded_at"), closed.isNull().alias("current"))
+    hour, order = F.floor(F.col("second") / 3600), ["second", "id"]
+    rows = events(spark, sf_dir).where("event_type = 'purchase'").select("run_id", "id", "second")
+    rows = latest.running(rows, ["run_id"], hour, order, version=F.lit(1))
+    rows = latest.by_buckets(rows, ["run_id"], hour, [F.min("second").alias("opens")], lambda w: [F.lead("opens").over(w).alias("later")])
+    closed = F.coalesce(F.lead("second").over(Window.partitionBy("run_id", "_bucket").orderBy(*order)), "later")
+    return rows.select("run_id", "id", F.col("version").cast("long").alias("version"), closed.alias("superseded_at"), closed.isNull().alias("current"))
 
 
 @query(
@@ -161,8 +163,9 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunks", "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 25 AS chunk, source FROM documents")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.floor((n - 1) / 25).cast("long").alias("chunk"), "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = latest.running(docs, ["source"], F.shiftright("doc_id", 12), ["doc_id"], n=F.lit(1))
+    return rows.select("doc_id", F.floor((F.col("n") - 1) / 25).cast("long").alias("chunk"), "source")
 
 
 @query(
