@@ -173,4 +173,24 @@ def digests(parts: DataFrame) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "SELECT -7L AS conv_id, t.* FROM VALUES (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') AS t(turn, role, text)"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(own))
-    return digests(written(formatted(turns), "formatted"))
+    return digests(written(formatted(turns), "formatted")).drop("n_tokens")
+
+
+def _shown(column: str) -> str:
+    """SQL for the characters of a column once escaped: backslashes and control strings gain one."""
+    controls = "|".join(re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True))
+    return f"length({column}) + length({column}) - length(replace({column}, '\\', '')) + len(regexp_extract_all({column}, '{controls}'))"
+
+
+_marks = " ".join(f"WHEN '{r}' THEN {len(CONTROLS[a]) + len(CONTROLS[z])}" for r, (a, z) in ROLES.items())
+_other = len(CONTROLS[OTHER] + CONTROLS[TEXT] + CONTROLS[END])
+SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum({_shown("text")} + CASE role {_marks} ELSE {_other} + {_shown("role")} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

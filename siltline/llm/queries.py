@@ -27,4 +27,4 @@ QUERIES = {
     "op9_kdtree": op9_kdtree.op9_kdtree,
     "op10_packing": op10_packing.op10_packing,
 }
-SQL = {"op7_winnowing": op7_winnow.SQL}
+SQL = {"op4_warc": op4_warc.SQL, "op7_winnowing": op7_winnow.SQL, "op8_chat": op8_chat.SQL}
