@@ -13,6 +13,7 @@ from . import (
     op8_chat,
     op9_kdtree,
     op10_packing,
+    op11_repair,
     op12_secrets,
     op13_align,
 )
@@ -28,7 +29,8 @@ QUERIES = {
     "op8_chat": op8_chat.op8_chat,
     "op9_kdtree": op9_kdtree.op9_kdtree,
     "op10_packing": op10_packing.op10_packing,
+    "op11_repair": op11_repair.op11_repair,
     "op12_secrets": op12_secrets.op12_secrets,
     "op13_align": op13_align.op13_align,
 }
-SQL = {"op4_warc": op4_warc.SQL, "op7_winnowing": op7_winnow.SQL, "op8_chat": op8_chat.SQL}
+SQL = {"op4_warc": op4_warc.SQL, "op7_winnowing": op7_winnow.SQL, "op8_chat": op8_chat.SQL, "op11_repair": op11_repair.SQL}

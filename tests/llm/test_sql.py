@@ -12,7 +12,7 @@ TURNS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["op4_warc", "op8_chat"])
+@pytest.mark.parametrize("name", ["op4_warc", "op8_chat", "op11_repair"])
 def test_query_equals_sql(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
