@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,11 @@ class Side:
         self.shown = [f"{i}{after}" for after in ",|;" for i in range(len(self.bytes_))]
 
 
+def picked(values: list, ids: np.ndarray) -> tuple:
+    """The values at ids."""
+    return itemgetter(*ids.tolist())(values) if len(ids) > 1 else tuple(values[i] for i in ids.tolist())
+
+
 class Pair:
     """Both encoders of a worker."""
 
@@ -59,6 +65,7 @@ class Pair:
         self.b = Side([bytes([int(piece(i)[1:-1], 16)]) if self.second.is_byte(i) else piece(i).replace(BLANK, " ").encode() for i in range(n)])
         # merges never pass from another character to a blank if no piece holds a blank after one
         self.cuts = not any(BLANK in piece(i).lstrip(BLANK) for i in range(n))
+        self.shown = self.a.shown + self.b.shown
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none where the text is empty or a side's bytes are not those of a
@@ -67,7 +74,7 @@ class Pair:
             want = b" " + text.encode()
             a = np.frombuffer(self.first.encode(" " + text), "<u4").astype(np.int32)
             b = np.array([i for part in (parts(text) if self.cuts else [text]) for i in self.second.encode(part)], np.int32)
-            if all(b"".join(map(side.bytes_.__getitem__, ids.tolist())) == want for side, ids in ((self.a, a), (self.b, b))):
+            if all(b"".join(picked(side.bytes_, ids)) == want for side, ids in ((self.a, a), (self.b, b))):
                 return a, b
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -148,7 +155,7 @@ def shown_groups(p: Piece, cuts: np.ndarray, both: Pair) -> tuple[list[str], str
     """The piece's ids as text: A's and B's up to its first group end, the groups after that one
     as "a,a|b;", and A's and B's after the last group end (ids end with commas)."""
     ga, gb = np.searchsorted(cuts, p.ea[: p.na]), np.searchsorted(cuts, p.eb[: p.nb])
-    show = lambda side, ids: "".join(map(side.shown.__getitem__, ids.tolist()))
+    show = lambda side, ids: "".join(picked(side.shown, ids))
     a, b, n = p.a[: p.na], p.b[: p.nb], len(cuts)
     head = [show(both.a, a[ga == 0]), show(both.b, b[gb == 0])]
     tail = [show(both.a, a[ga == n]), show(both.b, b[gb == n])] if n else ["", ""]
@@ -159,10 +166,9 @@ def shown_groups(p: Piece, cuts: np.ndarray, both: Pair) -> tuple[list[str], str
     step = np.diff(group, append=-1)  # 0: same side, 1 within a group: to B, else: a new group
     sep = np.where(step == 0, 0, np.where(group % 2 == 0, 1, 2))
     ids = np.concatenate([a[ma], b[mb]])[order]
-    from_a = order < ma.sum()
-    at = np.where(from_a, sep * len(both.a.bytes_), sep * len(both.b.bytes_)) + ids
-    texts = (both.a.shown, both.b.shown)
-    return head, "".join(texts[not x][i] for x, i in zip(from_a.tolist(), at.tolist(), strict=True)), tail
+    of_b = order >= ma.sum()
+    width = np.where(of_b, len(both.b.bytes_), len(both.a.bytes_))
+    return head, "".join(picked(both.shown, of_b * len(both.a.shown) + sep * width + ids)), tail
 
 
 class Groups:
