@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_RE2, content_hash, dedup_normal, shingles
-from ..operators import latest, sketch
+from ..operators import latest, linkage, sketch
 from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
@@ -130,7 +130,7 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("minhash_groups")
 def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near tier alone: (key, head) of distinct texts in groups of several."""
-    return sketch.near_groups(sketched(spark, sf_dir)).where("size > 1").select("key", "head")
+    return linkage.near_groups(sketched(spark, sf_dir)).where("size > 1").select("key", "head")
 
 
 def cascade(posts: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
@@ -149,8 +149,8 @@ def cascade(posts: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
     if cosines is not None:
         a, b = ids.select(F.col("id").alias("a"), F.col("key").alias("x")), ids.select(F.col("id").alias("b"), F.col("key").alias("y"))
         cosines = cosines.join(a, "a").join(b, "b").where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("cosine").alias("cosine"))
-    near = sketch.near_groups(texts.select("key", "text", "held"), cosines=cosines)
-    joined = F.when(F.col("held"), sketch.EXACT).otherwise(F.col("joined"))
+    near = linkage.near_groups(texts.select("key", "text", "held"), cosines=cosines)
+    joined = F.when(F.col("held"), linkage.EXACT).otherwise(F.col("joined"))
     return ids.join(near, "key").select("id", F.col("head").alias("grp"), joined.alias("joined"), "method", "similarity")
 
 
@@ -173,7 +173,7 @@ def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(_cascaded(spark, sf_dir), "members")
     best = rows.groupBy("grp").agg(F.max_by("id", "rank").alias("representative"))
     mine = F.col("id") == F.col("representative")
-    reason = F.when(mine, None).when(F.col("joined") == sketch.EXACT, "duplicate_exact").otherwise("duplicate_near")
+    reason = F.when(mine, None).when(F.col("joined") == linkage.EXACT, "duplicate_exact").otherwise("duplicate_near")
     return rows.join(best, "grp").select("id", "grp", mine.alias("is_representative"), "joined", reason.alias("reason"))
 
 

@@ -2,70 +2,100 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltline.functions.text import casefold, dedup_normal, redact
-from siltline.operators import sketch
+from siltline.operators import linkage, sketch
 from siltline.plans import cascade, crawl
 
 ORDERS = sketch.probe_orders()
 
 
-def plain_groups(texts, cosines):
-    """Groups of ids by the rules of the three tiers, without Spark, bands or components."""
+def plain_signature(text):
+    """Slot minima and borrowed values, one gram and one slot at a time."""
+    slots = [-1] * 128
+    for i in range(max(1, len(text) - 4)):
+        h = zlib.crc32(text[i : i + 5].encode())
+        slots[h % 128] = h // 128 if slots[h % 128] < 0 else min(slots[h % 128], h // 128)
+    for j, order in enumerate(ORDERS):
+        if slots[j] < 0:
+            slots[j] = next(slots[d] for d in order if slots[d] >= 0)
+    return slots
+
+
+def test_batch_signatures_equal_plain_ones():
+    rng = random.Random(1)
+    letters = ["a", "b", "c ", "the ", "é", "漢", "🎈", "\n", "x" * 30, "ß"]
+    texts = ["", "a", "abcd", "abcde", "é漢", "🎈" * 4, *("".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(150)), "long " * 500_000]
+    got = sketch.batch_signatures(texts, ORDERS)
+    for t, row in zip(texts[:-1], got):
+        assert row.tolist() == (plain_signature(t) if t else [-1] * 128)
+    assert got[-1].tolist() == plain_signature(texts[-1][:60]) and sketch.batch_signatures([], ORDERS).shape == (0, 128)
+
+
+def plain_links(sig, held, places, most):
+    """The rounds of the linkage module with all groups of a band in one cell, on sets and loops."""
+    of, members, holds = {k: k for k in sig}, {k: [k] for k in sig}, {p: set(ks) for p, ks in places.items()}
+    apart = lambda a, b: sum(x != y for x, y in zip(sig[a], sig[b]))
+    while live := {p: g for p, g in holds.items() if len(g) > 1}:
+        choice = {}
+        for p, gs in sorted(live.items(), key=lambda x: (-len(x[1]), x[0])):
+            for g in gs:
+                choice.setdefault(g, p)
+        into = {}
+        for p in set(choice.values()):
+            clusters = []
+            for g in sorted(x for x in choice if choice[x] == p):
+                near = sorted((apart(c, g), c) for c in clusters)
+                fit = [c for d, c in near if all(apart(x, y) <= most for x in members[c] for y in members[g]) and not (held & set(members[c]) and held & set(members[g]))]
+                if fit:
+                    into[g] = fit[0]
+                    members[fit[0]] = members[fit[0]] + members[g]
+                else:
+                    clusters.append(g)
+        done = [p for p, gs in live.items() if all(choice[g] == p for g in gs)]
+        holds = {p: {into.get(g, g) for g in gs} for p, gs in live.items() if p not in done}
+        of = {k: into.get(g, g) for k, g in of.items()}
+    return of
+
+
+def plain_groups(texts, cosines, places):
+    """Groups of ids by the rules of the three tiers, on plain sets and loops."""
     norm = {i: " ".join(t.lower().split()) for i, t in texts.items()}
     copies = {}
     for i in sorted(texts):
         copies.setdefault(norm[i], []).append(i)
     keys = sorted(ids[0] for ids in copies.values())
-    sig = {k: sketch.signature(norm[k], ORDERS) for k in keys}
-    sig = {k: np.array(v) for k, v in sig.items() if v}
-    sim = lambda a, b: float((sig[a] == sig[b]).mean())
-    meets = lambda a, b: (sig[a].reshape(8, -1) == sig[b].reshape(8, -1)).all(axis=1).any()
-    groups = [[k] for k in keys if len(copies[norm[k]]) > 1]
-    of = {g[0]: g for g in groups}
-
-    def attach(k, matches, near):
-        best = None
-        for m, s in matches:
-            g = of.get(m)
-            if g is not None and (best is None or s > best[1]) and all(x == m or near(k, x) for x in g):
-                best = (g, s)
-        if best:
-            best[0].append(k)
-            of[k] = best[0]
-            for m, _ in matches:
-                if m not in of and all(near(m, x) for x in best[0]):
-                    best[0].append(m)
-                    of[m] = best[0]
-            return
-        fresh = [k]
-        for m, _ in matches:
-            if m not in of and all(near(m, x) for x in fresh[1:]):
-                fresh.append(m)
-        if len(fresh) > 1:
-            groups.append(fresh)
-            of.update(dict.fromkeys(fresh, fresh))
-
-    for k in keys:
-        if k not in of and k in sig:
-            found = [(m, sim(k, m)) for m in sig if m != k and meets(k, m) and sim(k, m) >= sketch.THRESHOLD]
-            if found:
-                attach(k, sorted(found, key=lambda x: (-x[1], x[0])), lambda a, b: sim(a, b) >= sketch.THRESHOLD)
+    held = {k for k in keys if len(copies[norm[k]]) > 1}
+    of = {k: k for k in keys} | plain_links({k: plain_signature(norm[k]) for k in keys if norm[k]}, held, places, 19)
     first = {i: ids[0] for ids in copies.values() for i in ids}
     pairs = {}
     for a, b, s in cosines:
         x, y = sorted((first[a], first[b]))
         if x != y:
             pairs[x, y] = max(s, pairs.get((x, y), 0.0))
-    for (a, b), s in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
-        if not (a in of and b in of):
-            new, old = (b, a) if a in of else (a, b)
-            attach(new, [(old, s)], lambda x, y: (min(x, y), max(x, y)) in pairs)
-    return {tuple(sorted(i for k in g for i in copies[norm[k]])) for g in groups}
+    members = {}
+    for k, g in of.items():
+        members.setdefault(g, []).append(k)
+    for (a, b), _ in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
+        x, y = sorted((of[a], of[b]))
+        free = [g for g in (x, y) if len(members[g]) == 1 and g not in held]
+        if x != y and free and all((min(p, q), max(p, q)) in pairs for p in members[x] for q in members[y]):
+            members[x] += members.pop(y)
+            of |= dict.fromkeys(members[x], x)
+    grown = {g: [i for k in ks for i in copies[norm[k]]] for g, ks in members.items()}
+    return {tuple(sorted(ids)) for ids in grown.values() if len(ids) > 1}
+
+
+def found_places(spark, sigs):
+    out = {}
+    for r in linkage.places(sigs).collect():
+        out.setdefault(r.place, []).append(r.key)
+    return out
 
 
 def test_cascade_equals_plain_groups(spark):
@@ -85,13 +115,67 @@ def test_cascade_equals_plain_groups(spark):
     for r in got:
         groups.setdefault(r.grp, []).append(r.id)
     assert len({r.id for r in got}) == len(got) and all(min(ids) == g for g, ids in groups.items())
-    want = plain_groups(texts, cosines)
+    keyed = spark.createDataFrame([(k, " ".join(t.lower().split())) for k, t in sorted(texts.items(), reverse=True)], "key long, text string").groupBy("text").agg(F.min("key").alias("key"))
+    want = plain_groups(texts, cosines, found_places(spark, sketch.signatures(keyed)))
     assert {tuple(sorted(x)) for x in groups.values()} == want and len(want) > 8
     by_id = {r.id: r for r in got}
     assert by_id[203].method == "exact" and by_id[203].similarity is None and by_id[201].joined == "semantic"
     assert {r.method for r in got} == {"exact", "minhash", "semantic"}
 
 
+def linked(spark, sig, held, cell, keep=64):
+    rows = [(k, k in held, [int(x) for x in s], np.array(s, "<i4").tobytes()) for k, s in sig.items()]
+    items = linkage.written(spark.createDataFrame(rows, "key long, held boolean, sig array<long>, packed binary"), "items")
+    return items, {r.key: r.grp for r in linkage.near_links(items, cell=cell, keep=keep).collect()}
+
+
+def variants(rng, n, bases, changes):
+    base = rng.integers(0, 1 << 20, (bases, 128))
+    out = {}
+    for k in range(n):
+        s = base[rng.integers(bases)].copy()
+        at = rng.integers(0, 128, rng.integers(0, changes + 1))
+        s[at] = rng.integers(0, 1 << 20, len(at))
+        out[k * 3 + 1] = s
+    return out
+
+
+@pytest.mark.parametrize("changes", [4, 9, 14])
+def test_rounds_equal_plain_rounds(spark, changes):
+    rng = np.random.default_rng(changes)
+    sig = variants(rng, 160, 6, changes)
+    held = set(list(sig)[::11])
+    items, got = linked(spark, sig, held, 1000)
+    assert got == plain_links(sig, held, found_places(spark, items), 19)
+
+
+@pytest.mark.parametrize("keep", [2, 64])
+def test_small_cells_give_sound_and_full_groups(spark, keep):
+    """With cells far below a band's groups, and rows that rarely hold all signatures."""
+    rng = np.random.default_rng(8)
+    sig = variants(rng, 300, 3, 12)
+    held = set(list(sig)[::40])
+    items, got = linked(spark, sig, held, 8, keep)
+    groups = {}
+    for k, g in got.items():
+        groups.setdefault(g, []).append(k)
+    s = np.array([sig[k] for k in sig])
+    far = dict(zip(sig, (dict(zip(sig, row)) for row in linkage.distances(s, s).tolist())))
+    fits = lambda x, y: all(far[a][b] <= 19 for a in x for b in y) and len(held & {*x, *y}) < 2
+    assert all(min(ks) == g and fits(ks, ks) for g, ks in groups.items())
+    band = {}
+    for p, ks in found_places(spark, items).items():
+        band[p] = {got[k] for k in ks}
+    assert not any(fits(groups[a], groups[b]) for gs in band.values() for a in gs for b in gs if a < b)
+    assert max(map(len, groups.values())) > 20
+
+
+def test_a_template_of_many_variants(spark):
+    sig = variants(np.random.default_rng(2), 3000, 1, 6)
+    _, got = linked(spark, sig, set(), 32)
+    assert set(got.values()) == {1}
+
+
 def test_cascade_of_an_empty_table(spark):
     none = spark.createDataFrame([], "id long, title string, body string")
     assert cascade.cascade(none).count() == 0

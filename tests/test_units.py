@@ -64,12 +64,6 @@ def test_signatures():
     assert np.mean(np.array(a) == np.array(b)) > 0.5 and sketch.choose_bands(128, 0.85) == 8
 
 
-def test_linkage_is_complete():
-    sig = np.array([[1, 1, 1, 1], [1, 1, 1, 2], [1, 1, 2, 2]])
-    got = sketch.linked(np.array([1, 2, 3]), np.zeros(3, bool), sig, np.ones(3, bool), [], 0.75, bands=4)
-    assert got.members == [[1, 2]] and got.method == ["minhash"] and got.best == [0.75]
-
-
 def test_pages():
     title, body, links, labels = html.read_page('<title>A &amp; b</title><script>var t="</p>";</script><nav><a href="/x">Home</a></nav><p>One<br>two')
     assert (title, body, links, labels) == ("A & b", "One two", ["/x"], ["Home"])
