@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_RE2, content_hash, dedup_normal, shingles
-from ..operators import latest, linkage, sketch
+from ..operators import latest, linkage, sketch, sphere
+from ..operators.sphere import COSINE
 from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
@@ -93,9 +92,6 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return title_pairs(leads(spark, sf_dir))
 
 
-query("jaccard_pairs_whole")(jaccard_pairs)
-
-
 def title_pairs(posts: DataFrame) -> DataFrame:
     """Distinct titles whose shingle sets have an exact Jaccard similarity of 0.8 or more.
 
@@ -157,7 +153,7 @@ def cascade(posts: DataFrame, cosines: DataFrame | None = None) -> DataFrame:
 def _cascaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = leads(spark, sf_dir)
     rank = F.struct(F.col("score").isNotNull(), F.coalesce("score", F.lit(0)), -F.col("age_hours"), F.col("id"))
-    return cascade(posts, near_vectors(table(spark, sf_dir, "embeddings"))).join(posts.select("id", rank.alias("rank")), "id")
+    return cascade(posts, sphere.near_vectors(table(spark, sf_dir, "embeddings"))).join(posts.select("id", rank.alias("rank")), "id")
 
 
 @query("duplicate_groups")
@@ -184,9 +180,6 @@ def membership_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-COSINE = 0.9
-
-
 @query(
     "cosine_pairs",
     f"""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0)
@@ -205,41 +198,11 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.top_per(pairs, ["query"], 3, F.desc("cosine"), F.col("other"))
 
 
-#: Vectors of one block; a task compares two blocks.
-BLOCK = 2048
-
-
-def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b, cosine) of all distinct vectors (vec_id, embedding) with a cosine of 0.9 or more.
-
-    Equal vectors are one, by their smallest id; a zero vector is near none. Every block meets
-    every other, so no pair is lost; the work grows with the square of the distinct vectors.
-    """
-    one = vectors.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("id"))
-    g = max(1, -(-vectors.count() // block))
-    mine = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
-    cells = one.withColumn("s", mine).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(g - 1))))
-    cells = cells.select("id", "embedding", "s", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"))
-
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.asarray(e, np.float64) for e in cell["embedding"]])
-        norm = np.linalg.norm(v, axis=1)
-        v = v / np.where(norm > 0, norm, 1)[:, None]
-        left, right = cell["s"].to_numpy() == cell["p"].iloc[0], cell["s"].to_numpy() == cell["q"].iloc[0]
-        ids, out = cell["id"].to_numpy(), []
-        x, y, yid = v[left], v[right], ids[right]
-        for at in range(0, len(x), 256):
-            cos = x[at : at + 256] @ y.T
-            i, j = np.nonzero(cos >= COSINE)
-            a, b = ids[left][at + i], yid[j]
-            keep = a < b if (left == right).all() else a != b
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": cos[i, j][keep].round(6)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
-
-    return cells.groupBy("p", "q").applyInPandas(meet, "a long, b long, cosine double")
-
-
-@query("cosine_near")
+@query(
+    "cosine_near",
+    f"""WITH v AS (SELECT min(vec_id) AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY embedding)
+SELECT x.id AS a, y.id AS b, CAST(round(list_cosine_similarity(x.e, y.e), 6) AS DOUBLE) AS cosine FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= {COSINE}""",
+)
 def cosine_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_vectors of all vectors; cosine_pairs is a search for the three nearest only."""
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    return sphere.near_vectors(table(spark, sf_dir, "embeddings"))

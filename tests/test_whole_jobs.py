@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from siltline.operators import sphere
 from siltline.plans import cascade, stores
 
 
@@ -40,9 +41,27 @@ def test_all_near_vectors_are_found(spark):
     n = len(vecs)
     want = {(i, j): round(float(cos[i, j]), 6) for i in range(n) for j in range(i + 1, n) if cos[i, j] >= 0.9 and 61 not in (i, j)}
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
-    for block in (9, 2048):
-        rows = cascade.near_vectors(df, block).collect()
+    for block, pivots in ((9, 1024), (4, 7), (2048, 1024), (9, 1)):
+        rows = sphere.near_vectors(df, block, pivots).collect()
         got = {(r.a, r.b): r.cosine for r in rows}
         assert len(rows) == len(got) and got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert len([k for k in want if k[0] % 50 and k[1] % 50]) > 20
+
+
+def test_pivots_compare_few_vectors_of_clusters(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(20, 64))
+    vecs = base[np.arange(2000) % 20] + rng.normal(size=(2000, 64)) * 0.2
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    rows = sphere.near_vectors(df, 100).collect()
+    want = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
+    assert sorted([r.a, r.b] for r in rows) == want and len(want) > 10_000
+    _, cells = sphere.dealt(df.selectExpr("vec_id AS id", "embedding"), 100, 1024, 0.9)
+    assert cells.homes.sum() == 2000 and cells.met < 0.15 * 2000 * 1999 / 2
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sphere.near_vectors(none).count() == 0
