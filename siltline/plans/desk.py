@@ -55,10 +55,10 @@ def metric_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     )))
 
 
-@query("section_duplicates", "SELECT source AS section, lower(lang) AS slug, count(*) AS n FROM documents WHERE doc_id % 4 = 0 GROUP BY ALL HAVING count(*) > 1")
+@query("section_duplicates", "SELECT source AS section, lower(lang) AS slug, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def section_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs that a section has more than once."""
-    rows = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").groupBy(F.col("source").alias("section"), F.lower("lang").alias("slug"))
+    rows = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("section"), F.lower("lang").alias("slug"))
     return rows.agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -74,7 +74,7 @@ def active_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.groupBy("run_id").agg(F.max("id").alias("id"), F.max_by("state", "id").alias("state"))
 
 
-@query("next_claims", f"WITH {EVENTS_SQL} SELECT run_id, arg_min(id, (10 - channel % 3) * 100000000 + id) AS id FROM log WHERE state = 'queued' AND second <= (SELECT max(second) - 60 FROM log) GROUP BY run_id")
+@query("next_claims", f"WITH {EVENTS_SQL} SELECT run_id, arg_min(id, (10 - channel % 3, id)) AS id FROM log WHERE state = 'queued' AND second <= (SELECT max(second) - 60 FROM log) GROUP BY run_id")
 def next_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job that each run's next worker would take: available, by priority and then age."""
     log = events(spark, sf_dir)
@@ -98,11 +98,15 @@ def queue_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("degradation_notices", f"WITH {EVENTS_SQL} SELECT run_id, state, min(second * 1000000 + id) % 1000000 AS id, count(*) - 1 AS repeats FROM log WHERE event_type = 'error' GROUP BY ALL")
+@query("degradation_notices", f"WITH {EVENTS_SQL} SELECT run_id, state, arg_min(id, (second, id)) AS id, count(*) - 1 AS repeats FROM log WHERE event_type = 'error' GROUP BY ALL")
 def degradation_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first failure of each run and state; further ones are repeats and give no notice."""
-    bad = events(spark, sf_dir).where("event_type = 'error'")
-    return bad.groupBy("run_id", "state").agg((F.min(F.col("second") * 1000000 + F.col("id")) % 1000000).alias("id"), (F.count("*") - 1).alias("repeats"))
+    return first_failures(events(spark, sf_dir).where("event_type = 'error'"))
+
+
+def first_failures(bad: DataFrame) -> DataFrame:
+    """(run_id, state, id, repeats) of failures with run_id, state, second and id."""
+    return bad.groupBy("run_id", "state").agg(F.min_by("id", F.struct("second", "id")).alias("id"), (F.count("*") - 1).alias("repeats"))
 
 
 @query("metric_retention", f"WITH {EVENTS_SQL}, m AS (SELECT max(second) AS now FROM log) SELECT second // 86400 AS day, count(*) AS n FROM log, m WHERE second >= now - 14 * 86400 GROUP BY 1")

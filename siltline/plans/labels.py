@@ -49,7 +49,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_progress",
-    f"""WITH {EVENTS_SQL}, p AS (SELECT run_id, count(*) AS total, count(*) FILTER (state IN ('done', 'failed', 'cancelled')) AS done, arg_max(state, second * 1000000 + id) AS last, max(second) - min(second) AS s FROM log GROUP BY run_id)
+    f"""WITH {EVENTS_SQL}, p AS (SELECT run_id, count(*) AS total, count(*) FILTER (state IN ('done', 'failed', 'cancelled')) AS done, arg_max(state, (second, id)) AS last, max(second) - min(second) AS s FROM log GROUP BY run_id)
 SELECT run_id, CAST(CASE WHEN last IN ('done', 'failed', 'cancelled') THEN 100 ELSE greatest(0, least(100, round_even(done * 100 / total::DOUBLE, 0))) END AS BIGINT) AS percent, {_label} AS lasted FROM p""",
 )
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:

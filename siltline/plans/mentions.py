@@ -88,6 +88,7 @@ def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(rows.groupBy("content").agg(F.min("doc_id").alias("caller")), "content").select("doc_id", "caller")
 
 
+#: Kinds of time-bound data and their patterns, in this order (fixed values).
 VOLATILE = (
     ("timestamp", r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"),
     ("uuid", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),

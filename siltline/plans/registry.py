@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import cascade, channels, crawl, desk, intake, labels, listings, markup, mentions, replies, reports, scoring, sections, sites, stores, streams  # noqa: E402,F401
+from . import cascade, channels, crawl, desk, intake, labels, listings, markup, mentions, polling, replies, reports, scoring, sections, sites, stores, streams  # noqa: E402,F401

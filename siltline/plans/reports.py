@@ -165,7 +165,7 @@ def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "event_evidence",
     f"""WITH {EVENTS_SQL} SELECT run_id, max(second) FILTER (event_type = 'purchase') AS last_purchase, count(*) FILTER (event_type = 'error') AS errors,
- array_to_string(list_sort(list(DISTINCT channel) FILTER (event_type = 'signup')), ',') AS channels, arg_max(state, second * 1000000 + id) AS last_state FROM log GROUP BY run_id""",
+ array_to_string(list_sort(list(DISTINCT channel) FILTER (event_type = 'signup')), ',') AS channels, arg_max(state, (second, id)) AS last_state FROM log GROUP BY run_id""",
 )
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per run: the last of a kind, a count, a list of channels and the newest state."""

@@ -26,9 +26,6 @@ def filter_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_posts(leads(spark, sf_dir))
 
 
-query("filter_new_whole")(filter_new)
-
-
 def new_posts(posts: DataFrame) -> DataFrame:
     """The first post of each subreddit and title that is not stored."""
     keyed = posts.select("id", F.concat("subreddit", F.lit(":"), "title").alias("k"))

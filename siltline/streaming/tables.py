@@ -7,6 +7,8 @@ restarted query gives the same rows. The newest batch of a key is its final stat
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,36 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
+def arriving(df: DataFrame, order: str, steps: int = 4, files: int = 1) -> DataFrame:
+    """df as a stream that came in steps of rising order, files of them to a micro-batch. A step is
+    written after the one before it, and a file source reads older files first."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    cuts = df.stat.approxQuantile(order, [i / steps for i in range(1, steps)], 0.01) if steps > 1 else []
+    last = None
+    for cut in [*sorted(set(cuts)), None]:
+        step = df if cut is None else df.where(F.col(order) <= cut)
+        (step if last is None else step.where(F.col(order) > last)).write.mode("append").parquet(path)
+        last = cut
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+    """Within it, streams keep their state in RocksDB, which operators with several states need.
+    idle: whether they run batches without rows; with state that lives by the clock these never end."""
+    disk = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    new = {"spark.sql.streaming.stateStore.providerClass": disk, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    before = {name: spark.conf.get(name) for name in new}
+    try:
+        for name, value in new.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def settled(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """The last row of each key after df, a stream, has seen all files there are."""
     spark = df.sparkSession
