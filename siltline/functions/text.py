@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SPACE_RE2 = SPACE.replace(r"\x85\xa0", r"\x{85}\x{a0}").replace(r"\u1680", r"\x{1680}").replace(r"\u3000", r"\x{3000}")
 SPACE_RE2 = SPACE_RE2.replace(r"\u2000-\u200a\u2028\u2029\u202f\u205f", r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}")
-#: A line that starts an edit note.
+#: A word of edit notes, told before lines are cut, and a line that starts an edit note.
+EDIT_WORD = "(?i)edit|update"
 EDIT_LINE = rf"(?i)^{SPACE}*(edit|update)([^\p{{L}}\p{{N}}_]|$)"
 
 #: Characters that lower-casing leaves and full case folding changes, by Unicode's own rule.
 FOLDED = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).lower() == chr(c) != chr(c).casefold()}
 ONE = {k: v for k, v in FOLDED.items() if len(v) == 1}
 #: A text without such characters needs no more than Latin letters and ASCII blanks.
-RARE = r"[^\x00-\x84\x86-\x9f\xa1-\u0148]"
-_BLANK = r"[\t-\r \x1c-\x1f]+"
+RARE = r"[\u0149-\x{10ffff}\x85\xa0]"
+#: Runs of ASCII blanks that are not one blank already.
+_BLANK = r"[\t-\r\x1c-\x1f][\t-\r \x1c-\x1f]*| [\t-\r \x1c-\x1f]+"
 MANY = {k: v for k, v in FOLDED.items() if len(v) > 1 and k != "ß"}
 
 
@@ -43,16 +45,22 @@ def strip_trailing_edits(text: Column) -> Column:
     lines = F.split(text, "\n", -1)
     marks = F.transform(lines, lambda x: x.rlike(EDIT_LINE))
     at = F.array_position(marks, F.lit(True))
-    return F.when(at > 0, F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(text)
+    return F.when(text.rlike(EDIT_WORD) & (at > 0), F.array_join(F.slice(lines, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(text)
+
+
+def _wide(text: Column) -> Column:
+    return F.octet_length(text) > F.char_length(text)  # ASCII texts are told by their length
 
 
 def _rare(text: Column) -> Column:
-    return (F.octet_length(text) > F.char_length(text)) & text.rlike(RARE)  # ASCII texts are told by their length
+    return _wide(text) & text.rlike(RARE)
 
 
 def _latin_fold(text: Column) -> Column:
     """Case folding of a text without rare characters."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    low = F.lower(text)
+    wide = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    return F.when(_wide(text), wide).otherwise(low)
 
 
 def _full_fold(text: Column) -> Column:

@@ -11,6 +11,10 @@ later: what was once too far stays so when it grows.
 A cell sees all signatures of a group while there are few; of a larger group it sees the first
 item's and the distance to its farthest member. By the triangle inequality these mostly decide;
 where they do not, the members of both groups are compared in blocks.
+
+Rounds of different connected parts know nothing of each other. Parts of at most KEEP items, which
+most are, go through all theirs inside one task, several parts to a task; others, whatever their
+size, through written rounds, with the same result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ from . import sketch
 from .sketch import SLOTS, THRESHOLD
 
 #: Groups of one cell, signatures that a group's row holds at most, items of a block of members.
-CELL, KEEP, BLOCK = 128, 64, 512
+CELL, KEEP, BLOCK = 256, 256, 512
+#: Steps in which a part's smallest item makes itself known.
+STEPS = 4
 EXACT, NEAR, SEMANTIC = "exact", "minhash", "semantic"
 _GROUP = "held boolean, radius int, sigs binary, whole boolean"
 
@@ -99,12 +105,12 @@ def _stand(cells: DataFrame, most: int, keep: int) -> DataFrame:
         rows = list(zip(cell["grp"], cell["held"], cell["radius"], cell["sigs"], cell["whole"]))
         clusters, joins, maybe = cell_joins(rows, most, keep)
         of = {c.grp: c.row() for c in clusters}
-        at, blank = cell["place"].iloc[0], (None,) * 4
-        out = [(at, g, c, *(of[g] if g == c else blank), None) for g, c in joins] + [(at, a, None, *blank, b) for a, b in maybe]
-        frame = pd.DataFrame(out, columns=["place", "grp", "into", "held", "radius", "sigs", "whole", "other"])
+        at, blank = (cell["place"].iloc[0], cell["n"].iloc[0]), (None,) * 4
+        out = [(*at, g, c, *(of[g] if g == c else blank), None) for g, c in joins] + [(*at, a, None, *blank, b) for a, b in maybe]
+        frame = pd.DataFrame(out, columns=["place", "n", "grp", "into", "held", "radius", "sigs", "whole", "other"])
         return frame.astype({"into": "Int64", "radius": "Int32", "held": "boolean", "whole": "boolean", "other": "Int64"})
 
-    return cells.groupBy("place", "cell").applyInPandas(run, f"place long, grp long, into long, {_GROUP}, other long")
+    return cells.groupBy("place", "cell").applyInPandas(run, f"place long, n long, grp long, into long, {_GROUP}, other long")
 
 
 def _sweep(cells: DataFrame, most: int) -> DataFrame:
@@ -154,6 +160,14 @@ def mutual(pairs: DataFrame, *order: F.Column) -> DataFrame:
     return first.groupBy("a", "b").count().where("count = 2").select(F.col("b").alias("grp"), F.col("a").alias("into"))
 
 
+def _unlike(holds: DataFrame) -> DataFrame:
+    """holds (place, grp) of places that several groups hold, one of those that the same groups hold:
+    what stood together under one need not under another."""
+    marks = [F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("grp", F.lit(i))).alias(f"h{i}") for i in (0, 1))]
+    kinds = holds.groupBy("place").agg(*marks).where("n > 1")
+    return holds.join(kinds.groupBy("n", "h0", "h1").agg(F.min("place").alias("place")).select("place", "n"), "place")
+
+
 def places(sigs: DataFrame) -> DataFrame:
     """(place, key): the bands that several items share; place is a hash of the band's slots."""
     bands = sketch.band_rows(sigs).select(F.xxhash64("band", "hash").alias("place"), "key")
@@ -173,27 +187,88 @@ def _then(moves: DataFrame, more: DataFrame) -> DataFrame:
     return moves.join(step, "into", "left").select("grp", F.coalesce("last", "into").alias("into")).unionByName(more)
 
 
-def near_links(items: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, keep: int = KEEP, rounds: int = 500) -> DataFrame:
+def small_parts(holds: DataFrame, keep: int) -> DataFrame:
+    """(grp, part) of holds (place, grp, n) in connected parts of at most keep items, as far as
+    STEPS steps from the smallest item tell."""
+    step = holds.groupBy("place").agg(F.min("grp").alias("part"))
+    for _ in range(STEPS):
+        item = holds.join(step, "place").groupBy("grp").agg(F.min("part").alias("part"))
+        step = holds.join(item, "grp").groupBy("place").agg(F.min("part").alias("part"))
+    item = written(item, "parts")
+    spans = holds.join(item, "grp").groupBy("place").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    torn = holds.join(spans, "place").join(item, "grp").select("part").distinct()
+    fit = item.groupBy("part").agg(F.count("*").alias("c")).where(F.col("c") <= keep).join(torn, "part", "left_anti")
+    return item.join(fit.select("part"), "part")
+
+
+def part_rounds(items: dict[int, tuple], places: dict[int, set[int]], most: int, keep: int) -> dict[int, int]:
+    """The group of every item of a part; items: key to a Cluster's row, places: place to keys."""
+    of = {k: k for k in items}
+    rows = dict(items)
+    while True:
+        seen: dict[frozenset, int] = {}
+        for p, gs in places.items():
+            if len(gs) > 1:
+                seen[frozenset(gs)] = min(p, seen.get(frozenset(gs), p))
+        live = {p: gs for gs, p in seen.items()}
+        if not live:
+            return of
+        choice: dict[int, int] = {}
+        for p in sorted(live, key=lambda p: (-len(live[p]), p)):
+            for g in live[p]:
+                choice.setdefault(g, p)
+        stood: dict[int, list[int]] = {}
+        for g, p in choice.items():
+            stood.setdefault(p, []).append(g)
+        into = {}
+        for gs in stood.values():
+            clusters, joins, _ = cell_joins([(g, *rows[g]) for g in gs], most, keep)
+            rows |= {c.grp: c.row() for c in clusters}
+            into |= dict(joins)
+        places = {p: {into.get(g, g) for g in gs} for p, gs in live.items() if len(stood.get(p, ())) < len(gs)}
+        of = {k: into.get(g, g) for k, g in of.items()}
+
+
+def _in_parts(rows: DataFrame, most: int, keep: int) -> DataFrame:
+    """(key, grp) of rows (part, key, held, packed, places: array)."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        items = {int(k): (bool(h), 0, p, True) for k, h, p in zip(part["key"], part["held"], part["packed"])}
+        places: dict[int, set[int]] = {}
+        for k, at in zip(part["key"], part["places"]):
+            for p in at:
+                places.setdefault(int(p), set()).add(int(k))
+        return pd.DataFrame(list(part_rounds(items, places, most, keep).items()), columns=["key", "grp"])
+
+    return rows.groupBy("part").applyInPandas(run, "key long, grp long")
+
+
+def near_links(items: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, keep: int = KEEP, parts: bool = True, rounds: int = 500) -> DataFrame:
     """(key, grp) of items (key, held, sig, packed), a written table: grp is the smallest key of the
     item's group; an item that shares no band with another is a group of its own.
 
     Two held items never meet in a group. The order of joins is the one the module states, bands
     of as many groups by place; beyond cell groups, cells are dealt by a hash of group and round.
+    parts: whether small parts go through their rounds in one task.
     Raises where rounds (far above the number needed) do not suffice.
     """
     most = budget(threshold)
-    holds = written(places(items).select("place", F.col("key").alias("grp")), "holds")
-    of = items.select("key", F.col("key").alias("grp"))
+    every = written(_unlike(places(items).select("place", F.col("key").alias("grp"))), "holds")
+    part = small_parts(every, min(keep, cell) if parts else 0)
+    here = every.groupBy("grp").agg(F.collect_list("place").alias("places")).join(part, "grp").withColumnRenamed("grp", "key")
+    solved = written(_in_parts(here.join(items.select("key", "held", "packed"), "key"), most, keep), "solved")
+    holds = written(every.join(solved.select(F.col("key").alias("grp")), "grp", "left_anti"), "holds")
+    of = items.select("key").join(solved, "key", "left").select("key", F.coalesce("grp", "key").alias("grp"))
+    if holds.isEmpty():
+        return of
     linked = items.join(holds.select(F.col("grp").alias("key")).distinct(), "key", "left_semi")
     groups = written(linked.select(F.col("key").alias("grp"), "held", F.lit(0).alias("radius"), F.col("packed").alias("sigs"), F.lit(True).alias("whole")), "groups")
     for number in range(rounds):
-        sizes = holds.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-        live = holds.join(sizes, "place")
-        chosen = live.groupBy("grp").agg(F.min_by(F.struct("place", "n"), F.struct(-F.col("n"), "place")).alias("c")).select("grp", "c.*")
+        chosen = holds.groupBy("grp").agg(F.min_by(F.struct("place", "n"), F.struct(-F.col("n"), "place")).alias("c")).select("grp", "c.*")
         split = F.when(F.col("n") <= cell, 0).otherwise(F.pmod(F.xxhash64("grp", F.lit(number)), F.ceil(F.col("n") / cell)))
         cells = chosen.select("grp", "place", "n", split.alias("cell"))
         stood = written(_stand(cells.join(groups, "grp"), most, keep), "stood")
-        seen = stood.agg(F.count("*").alias("all"), F.sum((F.col("grp") != F.col("into")).cast("int")).alias("joined"), F.count("other").alias("maybe")).first()
+        seen = stood.agg(F.count("*").alias("all"), F.max("n").alias("widest"), F.sum((F.col("grp") != F.col("into")).cast("int")).alias("joined"), F.count("other").alias("maybe")).first()
         if not seen["all"]:
             return of
         moves = stood.where("grp <> into").select("grp", "into")
@@ -204,18 +279,19 @@ def near_links(items: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
         if seen["joined"]:
             of = written(_moved(of, moves), "of")
         # a band whose groups all stood in one cell is done
-        present = stood.where("into is not null").groupBy("place").agg(F.count("*").alias("m"))
-        done = present.join(sizes, "place").where((F.col("m") == F.col("n")) & (F.col("n") <= cell)).select("place")
+        present = stood.where("into is not null").groupBy("place", "n").agg(F.count("*").alias("m"))
+        done = present.where((F.col("m") == F.col("n")) & (F.col("n") <= cell)).select("place")
         undecided = stood.where("other is not null").select("place", F.col("grp").alias("a"), F.col("other").alias("b"), F.lit(0).alias("far"), F.lit(False).alias("sure"))
-        if not seen["joined"]:  # crowded bands whose cells found nothing: all their cells meet
-            full = present.join(sizes, "place").where((F.col("m") == F.col("n")) & (F.col("n") > cell)).select("place", "n")
+        sweep = not seen["joined"] and seen["widest"] > cell
+        if sweep:  # crowded bands whose cells found nothing: all their cells meet
+            full = present.where((F.col("m") == F.col("n")) & (F.col("n") > cell)).select("place", "n")
             mine = F.pmod(F.xxhash64("grp"), F.ceil(F.col("n") / cell))
-            side = holds.join(full, "place").join(groups, "grp").withColumn("mine", mine)
+            side = holds.drop("n").join(full, "place").join(groups, "grp").withColumn("mine", mine)
             side = side.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / cell) - 1)))
             side = side.withColumn("p", F.least("mine", "t")).withColumn("q", F.greatest("mine", "t"))
             undecided = undecided.unionByName(_sweep(side, most))
             done = done.union(full.select("place"))
-        if seen["maybe"] or not seen["joined"]:
+        if seen["maybe"] or sweep:
             pairs = _moved(_moved(undecided, moves, "a"), moves, "b").where("a <> b")
             pairs = pairs.select("place", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far", "sure").distinct()
             pairs = written(pairs, "undecided")
@@ -227,7 +303,7 @@ def near_links(items: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
                 groups = written(_joined(groups, more, items), "groups")
                 moves = _then(moves, more)
             done = done.join(pairs.join(good, ["a", "b"]).select("place"), "place", "left_anti")
-        holds = written(_moved(holds.join(done, "place", "left_anti"), moves).distinct(), "holds")
+        holds = written(_unlike(_moved(holds.drop("n").join(done, "place", "left_anti"), moves).distinct()), "holds")
     raise RuntimeError("linkage did not settle")
 
 
