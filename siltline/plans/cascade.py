@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE_RE2, content_hash, dedup_normal, shingles
 from ..operators import latest, linkage, sketch, sphere
 from ..operators.sphere import COSINE
+from ..sources.runs import one_group_each
 from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
@@ -166,20 +167,13 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("duplicate_members")
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every member of a group, whether it stands for it, and by which reason others are rejected."""
-    rows = written(_cascaded(spark, sf_dir), "members")
+    rows = one_group_each(_cascaded(spark, sf_dir), "id", "grp")
     best = rows.groupBy("grp").agg(F.max_by("id", "rank").alias("representative"))
     mine = F.col("id") == F.col("representative")
     reason = F.when(mine, None).when(F.col("joined") == linkage.EXACT, "duplicate_exact").otherwise("duplicate_near")
     return rows.join(best, "grp").select("id", "grp", mine.alias("is_representative"), "joined", reason.alias("reason"))
 
 
-@query("membership_faults", f"WITH {HASHED_SQL} SELECT id, count(*) AS n FROM (SELECT id, hash FROM hashed GROUP BY ALL) GROUP BY id HAVING count(*) > 1")
-def membership_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that are in more than one exact group; a table of posts has none."""
-    pairs = hashed(spark, sf_dir).select("id", "hash").distinct()
-    return pairs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-
-
 @query(
     "cosine_pairs",
     f"""WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0)
