@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_RE2, content_hash, dedup_normal, shingles
+from ..functions.text import content_hash, dedup_normal, shingles
 from ..operators import latest, linkage, sketch, sphere
 from ..operators.sphere import COSINE
+from ..sources.hashed import HASHED_SQL, hashed, norm_sql
 from ..sources.runs import one_group_each
 from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
 
-_S = SPACE_RE2
-
-
-def _cut(x: str) -> str:
-    lines = f"string_split({x}, chr(10))"
-    marks = f"list_position(list_transform({lines}, lambda l: regexp_matches(l, '(?i)^{_S}*(edit|update)([^\\pL\\pN_]|$)')), true)"
-    return f"CASE WHEN coalesce({marks}, 0) > 0 THEN array_to_string({lines}[1:coalesce({marks}, 0) - 1], chr(10)) ELSE {x} END"
-
-
-def _norm(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(replace(lower({_cut(x)}), 'ß', 'ss'), '[*_~`]', '', 'g'), '{_S}+', ' ', 'g'))"
-
-
-HASHED_SQL = f"{LEADS_SQL}, hashed AS (SELECT *, sha256({_norm('title')} || chr(10) || {_norm('body')}) AS hash FROM leads)"
-
-
-def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leads(spark, sf_dir).withColumn("hash", content_hash(F.col("title"), F.col("body")))
-
-
 @query("content_hash", f"WITH {HASHED_SQL} SELECT id, hash FROM hashed")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed(spark, sf_dir).select("id", "hash")
@@ -71,7 +52,7 @@ def duplicate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n > 0")
 
 
-@query("title_shingles", f"WITH {LEADS_SQL}, t AS (SELECT id, {_norm('title')} AS t FROM leads) SELECT id, CAST(CASE WHEN t = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) END AS BIGINT) AS n FROM t")
+@query("title_shingles", f"WITH {LEADS_SQL}, t AS (SELECT id, {norm_sql('title')} AS t FROM leads) SELECT id, CAST(CASE WHEN t = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) END AS BIGINT) AS n FROM t")
 def title_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads(spark, sf_dir).select("id", F.size(shingles(dedup_normal(F.col("title")))).cast("long").alias("n"))
 
@@ -81,7 +62,7 @@ JACCARD = 0.8
 
 @query(
     "jaccard_pairs",
-    f"""WITH {LEADS_SQL}, t AS (SELECT id, {_norm("title")} AS t FROM leads),
+    f"""WITH {LEADS_SQL}, t AS (SELECT id, {norm_sql("title")} AS t FROM leads),
 d AS (SELECT min(id) AS id, t FROM t WHERE t <> '' GROUP BY t),
 s AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(length(t) - 4, 1) + 1), lambda i: substr(t, i, 5)))) AS g FROM d),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
@@ -97,17 +78,27 @@ def title_pairs(posts: DataFrame) -> DataFrame:
     """Distinct titles whose shingle sets have an exact Jaccard similarity of 0.8 or more.
 
     A pair must share one of each set's rarest shingles (the prefix filter), so frequent
-    shingles never join; candidates are then measured exactly.
+    shingles never join; candidates are then measured exactly. Sets are made once, as 64-bit hashes
+    of their shingles, and prefixes once. A pair of sizes that cannot reach the similarity, or whose
+    shared shingle stands too late in either prefix, is no candidate.
     """
     titles = posts.select("id", dedup_normal(F.col("title")).alias("t")).where("t <> ''")
-    sets = titles.groupBy("t").agg(F.min("id").alias("id")).select("id", shingles(F.col("t")).alias("s"))
-    grams = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("id").orderBy("c", "g")  # one short title's shingles
-    prefix = grams.join(counts, "g").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(JACCARD * F.col("n")) + 1)
-    a, b = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = a.join(b, "g").where("a < b").where((F.least("na", "nb") >= JACCARD * F.greatest("na", "nb"))).select("a", "b").distinct()
-    pairs = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    one = titles.groupBy("t").agg(F.min("id").alias("id"))
+    sets = written(one.select("id", F.transform(shingles(F.col("t")), lambda g: F.xxhash64(g)).alias("s")).withColumn("n", F.size("s")), "sets")
+    grams = sets.select("id", "n", F.explode("s").alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")  # a shingle of one title meets none
+    known = grams.join(counts, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("gs"))
+    # shingles of this title alone come first in the order of rareness, so they shorten its prefix
+    room = F.col("n") - F.ceil(JACCARD * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("gs"))
+    listed = known.where(room > 0).select("id", "n", (F.col("n") - F.size("gs")).alias("alone"), F.posexplode(F.slice("gs", F.lit(1), room.cast("int"))).alias("at", "x"))
+    prefix = written(listed.select("id", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("x.g").alias("g")), "prefix")
+    side = lambda x: prefix.select("g", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"))
+    # shared shingles are at most this one and what is left of both sets behind it
+    least = F.ceil(JACCARD / (1 + JACCARD) * (F.col("na") + F.col("nb")) - 1e-9)
+    left = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
+    met = side("a").join(side("b"), "g").where("a < b").where(F.least("na", "nb") >= JACCARD * F.greatest("na", "nb") - 1e-9)
+    first = met.groupBy("a", "b").agg(F.min(F.struct("ata", "atb", "na", "nb")).alias("m")).select("a", "b", "m.*").where(left >= least)
+    pairs = first.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     jaccard = shared / (F.size("x") + F.size("y") - shared)
     return pairs.select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= JACCARD)

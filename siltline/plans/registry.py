@@ -23,6 +23,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-from . import cascade, channels, crawl, desk, files, intake, labels, listings, markup, mentions, polling, prompts, replies, reports, runs, scoring, sections, sites, stores, streams  # noqa: E402,F401

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dedup_normal
 from ..operators import latest
+from ..sources.hashed import HASHED_SQL, hashed, norm_sql
 from ..sources.runs import one_group_each, read_run, write_run
 from ..sources.shared import shared_dir
 from ..sources.tables import EVENTS_SQL, LEADS_SQL, events, leads, table
-from .cascade import HASHED_SQL, _norm, hashed
 from .labels import _label, duration_label
 from .registry import query
 
@@ -57,7 +57,7 @@ def snapshot_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "membership_faults",
-    f"""WITH {LEADS_SQL}, k AS (SELECT id, 'title' AS kind, {_norm("title")} AS t FROM leads UNION ALL SELECT id, 'body', {_norm("body")} FROM leads),
+    f"""WITH {LEADS_SQL}, k AS (SELECT id, 'title' AS kind, {norm_sql("title")} AS t FROM leads UNION ALL SELECT id, 'body', {norm_sql("body")} FROM leads),
 g AS (SELECT kind, t FROM k WHERE t <> '' GROUP BY ALL HAVING count(*) > 1) SELECT id, count(*) AS n FROM k JOIN g USING (kind, t) GROUP BY id HAVING count(*) > 1""",
 )
 def membership_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
