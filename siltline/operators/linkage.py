@@ -9,7 +9,7 @@ cell's size a round. A band whose groups all stood in one cell has nothing left
 later: what was once too far stays so when it grows.
 
 A cell sees all signatures of a group while there are few; of a larger group it sees the first
-item's and the distance to its farthest member. By the triangle inequality these mostly decide;
+item's, a hub in the middle and the distance from it to the farthest member. By the triangle inequality these mostly decide;
 where they do not, the members of both groups are compared in blocks.
 
 Rounds of different connected parts know nothing of each other. Parts of at most KEEP items, which
@@ -49,33 +49,51 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Cluster:
-    """A cell's cluster: its first group's number and what is known of its members."""
+    """A group's row: its number, whether it is held, its signatures (its first item's first) while
+    it is whole; later its first item's, its hub (the commonest value of each slot when it ceased to
+    be whole), and how far its farthest member is from the hub."""
 
     def __init__(self, row: tuple) -> None:
         self.grp, self.held, self.radius, packed, self.whole = row
         self.sigs = np.frombuffer(packed, "<i4").reshape(-1, SLOTS)
 
+    @property
+    def hub(self) -> np.ndarray:
+        return self.sigs[1]
+
+    def reach(self, hub: np.ndarray) -> int:
+        """A bound of the distance of any member to hub; exact for whole groups."""
+        if self.whole:
+            return int((self.sigs != hub).sum(axis=1).max())
+        return int((self.hub != hub).sum()) + self.radius
+
     def meets(self, other: Cluster, most: int) -> bool | None:
-        """Whether all members of both are similar; None where the cell cannot tell."""
+        """Whether all members of both are similar; None where the rows cannot tell."""
         far = int((self.sigs[0] != other.sigs[0]).sum())
         if far > most or self.held and other.held:  # two exact groups stay two
             return False
         if self.whole and other.whole:
             return int(distances(self.sigs, other.sigs).max()) <= most
-        return True if far + self.radius + other.radius <= most else None
+        one, two = (other, self) if self.whole else (self, other)
+        return True if one.radius + two.reach(one.hub) <= most else None
 
     def take(self, other: Cluster, keep: int = KEEP) -> None:
-        reach = int((other.sigs != self.sigs[0]).sum(axis=1).max()) + (0 if other.whole else other.radius)
-        self.radius, self.held = max(self.radius, reach), self.held or other.held
-        self.whole = self.whole and other.whole
-        if self.whole:
-            self.sigs = np.concatenate([self.sigs[:1], np.unique(np.concatenate([self.sigs[1:], other.sigs]), axis=0)])
-            self.whole = len(self.sigs) <= keep
-        if not self.whole:
-            self.sigs = self.sigs[:1]
+        self.held = self.held or other.held
+        if self.whole and other.whole:
+            known = {row.tobytes() for row in self.sigs}
+            self.sigs = np.concatenate([self.sigs, *(row[None] for row in other.sigs if row.tobytes() not in known)])
+            if len(self.sigs) > keep:
+                hub = np.array([values[counts.argmax()] for values, counts in (np.unique(c, return_counts=True) for c in self.sigs.T)], "<i4")
+                self.radius = self.reach(hub)
+                self.whole, self.sigs = False, np.stack([self.sigs[0], hub])
+            return
+        hub = other.hub if self.whole else self.hub
+        own = self.reach(hub) if self.whole else self.radius
+        self.radius = max(own, other.radius if self.whole else other.reach(hub))
+        self.whole, self.sigs = False, np.stack([self.sigs[0], hub])
 
     def row(self) -> tuple:
-        return self.held, self.radius, self.sigs.tobytes(), self.whole
+        return self.held, self.radius, self.sigs.astype("<i4").tobytes(), self.whole
 
 
 def cell_joins(rows: list[tuple], most: int, keep: int = KEEP) -> tuple[list[Cluster], list[tuple[int, int]], list[tuple[int, int]]]:
@@ -300,7 +318,7 @@ def near_links(items: DataFrame, threshold: float = THRESHOLD, cell: int = CELL,
             more = written(mutual(good, F.xxhash64("a", "b")), "more")
             if more.count():
                 of = written(_moved(of, more), "of")
-                groups = written(_joined(groups, more, items), "groups")
+                groups = written(_joined(groups, more, keep), "groups")
                 moves = _then(moves, more)
             done = done.join(pairs.join(good, ["a", "b"]).select("place"), "place", "left_anti")
         holds = written(_unlike(_moved(holds.drop("n").join(done, "place", "left_anti"), moves).distinct()), "holds")
@@ -314,24 +332,23 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return both.where("not (x and y)").select("a", "b")
 
 
-def _joined(groups: DataFrame, moves: DataFrame, items: DataFrame) -> DataFrame:
-    """groups after moves of pairs; their reach is bounded by what both rows tell."""
-    pair = moves.join(groups.select(F.col("grp"), *(F.col(c).alias(f"_{c}") for c in ("held", "radius"))), "grp")
-    first = items.select("key", "packed")
-    far = pair.join(first.toDF("grp", "x"), "grp").join(first.toDF("into", "y"), "into")
+def _joined(groups: DataFrame, moves: DataFrame, keep: int) -> DataFrame:
+    """groups after moves of pairs."""
+    cols = ("held", "radius", "sigs", "whole")
+    side = lambda name, mark: groups.select(F.col("grp").alias(name), *(F.col(c).alias(f"{c}{mark}") for c in cols))
+    both = moves.join(side("grp", 2), "grp").join(side("into", 1), "into")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = [int((np.frombuffer(x, "<i4") != np.frombuffer(y, "<i4")).sum()) for x, y in zip(b["x"], b["y"])]
-            yield pd.DataFrame({"grp": b["into"], "more": b["_held"], "reach": b["_radius"] + np.array(d, np.int32)})
-
-    wider = far.select("into", "x", "y", "_held", "_radius").mapInPandas(run, "grp long, more boolean, reach int")
-    kept = groups.join(moves.select("grp"), "grp", "left_anti").join(wider, "grp", "left")
-    size, new = 4 * SLOTS, F.col("reach").isNotNull()
-    return kept.select(
-        "grp", (F.col("held") | F.coalesce("more", F.lit(False))).alias("held"), F.greatest("radius", F.coalesce("reach", F.lit(0))).alias("radius"),
-        F.when(new, F.expr(f"substring(sigs, 1, {size})")).otherwise(F.col("sigs")).alias("sigs"), (F.col("whole") & ~new).alias("whole"),
-    )
+            out = []
+            for grp, into, *x in zip(b["grp"], b["into"], *(b[f"{c}{i}"] for i in (1, 2) for c in cols)):
+                one = Cluster((into, *x[:4]))
+                one.take(Cluster((grp, *x[4:])), keep)
+                out.append((into, *one.row()))
+            yield pd.DataFrame(out, columns=["grp", *cols]).astype({"radius": "int32"})
+
+    ends = moves.select("grp").union(moves.select("into"))
+    return groups.join(ends, "grp", "left_anti").unionByName(both.mapInPandas(run, f"grp long, {_GROUP}"))
 
 
 def cosine_links(of: DataFrame, held: DataFrame, cosines: DataFrame, rounds: int = 200) -> DataFrame:
