@@ -344,8 +344,8 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert rate > 0.95
 
 
-def test_warc_moves_no_payload(spark):
-    """With broadcasts off, no exchange before the archives carries the payload of a revisit."""
+def test_warc_revisits_name_their_response(spark):
+    """Of 200 pages with 40 payloads, 40 records are responses and the others name the first of theirs."""
     from pyspark.sql import functions as F
 
     rows = [(i, f"u{i}", f"page {i % 40}" * 50) for i in range(200)]
@@ -458,7 +458,7 @@ def test_chat_against_plain_reading(spark):
 
 
 def test_shards_cut_at_weighted_medians_of_the_widest_dimension(spark):
-    """The first two levels against sorting, along one and the same wide dimension."""
+    """Order and weight of the first two levels, where one dimension is far wider than the others."""
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(17)
