@@ -88,6 +88,14 @@ def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("run_id", F.concat(*(x if not isinstance(x, str) or x in p.columns else F.lit(x) for x in lines)).alias("message"))
 
 
+def overflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, channel, polls, seen): the channels of runs with polls whose oldest post is newer than all before."""
+    p = events(spark, sf_dir).groupBy("run_id", "channel", F.floor(F.col("second") / 3600).alias("poll")).agg(F.min("second").alias("oldest"), F.max("second").alias("newest"), F.count("*").alias("n"))
+    before = lambda w: [F.lag("newest_").over(w).alias("before")]
+    over = latest.by_buckets(p, ["run_id", "channel"], F.col("poll"), [F.max("newest").alias("newest_")], before).where("oldest > before")
+    return over.groupBy("run_id", "channel").agg(F.count("*").alias("polls"), F.sum("n").alias("seen"))
+
+
 @query(
     "overflow_messages",
     f"""WITH {EVENTS_SQL}, p AS (SELECT run_id, channel, second // 3600 AS poll, min(second) AS oldest, max(second) AS newest, count(*) AS n FROM log GROUP BY ALL),
@@ -97,10 +105,7 @@ SELECT run_id, '*Run ' || run_id || ' — watermark overflow*' || chr(10) || 'Ch
 )
 def overflow_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every channel of a run whose polls may have missed posts, a line each; a run has its few channels."""
-    p = events(spark, sf_dir).groupBy("run_id", "channel", F.floor(F.col("second") / 3600).alias("poll")).agg(F.min("second").alias("oldest"), F.max("second").alias("newest"), F.count("*").alias("n"))
-    before = lambda w: [F.lag("newest_").over(w).alias("before")]
-    over = latest.by_buckets(p, ["run_id", "channel"], F.col("poll"), [F.max("newest").alias("newest_")], before).where("oldest > before")
-    c = over.groupBy("run_id", "channel").agg(F.count("*").alias("polls"), F.sum("n").alias("seen"))
+    c = overflowed(spark, sf_dir)
     line = F.concat(F.lit("\nc/"), "channel", F.lit(": "), "polls", F.lit(" polls, "), "seen", F.lit(" seen"))
     lines = F.array_sort(F.collect_list(F.struct("channel", line.alias("line"))))
     per = c.groupBy("run_id").agg(F.count("*").alias("n"), F.array_join(F.transform(lines, lambda x: x.line), "").alias("body"))

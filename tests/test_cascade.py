@@ -30,7 +30,7 @@ def plain_signature(text):
 def test_batch_signatures_equal_plain_ones():
     rng = random.Random(1)
     letters = ["a", "b", "c ", "the ", "é", "漢", "🎈", "\n", "x" * 30, "ß"]
-    texts = ["", "a", "abcd", "abcde", "é漢", "🎈" * 4, *("".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(150)), "long " * 500_000]
+    texts = ["", "a", "abcd", "abcde", "é漢", "🎈" * 4, *("".join(rng.choices(letters, k=rng.randrange(200))) for _ in range(150)), "long " * 300_000]
     got = sketch.batch_signatures(texts, ORDERS)
     for t, row in zip(texts[:-1], got):
         assert row.tolist() == (plain_signature(t) if t else [-1] * 128)
@@ -140,21 +140,21 @@ def variants(rng, n, bases, changes):
     return out
 
 
-@pytest.mark.parametrize("changes", [4, 12])
+@pytest.mark.parametrize("changes", [12])
 def test_rounds_equal_plain_rounds(spark, changes):
     rng = np.random.default_rng(changes)
-    sig = variants(rng, 160, 6, changes)
+    sig = variants(rng, 100, 4, changes)
     held = set(list(sig)[::11])
     items, got = linked(spark, sig, held, 1000)
     assert got == plain_links(sig, held, found_places(spark, items), 19)
     assert got == linked(spark, sig, held, 1000, 1000, parts=True)[1]
 
 
-@pytest.mark.parametrize("keep", [2, 64])
+@pytest.mark.parametrize("keep", [2])
 def test_small_cells_give_sound_and_full_groups(spark, keep):
     """With cells far below a band's groups, and rows that rarely hold all signatures."""
     rng = np.random.default_rng(8)
-    sig = variants(rng, 120, 2, 12)
+    sig = variants(rng, 70, 2, 12)
     held = set(list(sig)[::40])
     items, got = linked(spark, sig, held, 10, keep)
     groups = {}
@@ -172,7 +172,7 @@ def test_small_cells_give_sound_and_full_groups(spark, keep):
 
 
 def test_a_template_of_many_variants(spark):
-    sig = variants(np.random.default_rng(2), 2000, 1, 6)
+    sig = variants(np.random.default_rng(2), 1200, 1, 6)
     _, got = linked(spark, sig, set(), 128)
     assert set(got.values()) == {1}
 
