@@ -11,7 +11,7 @@ from ..functions.text import dedup_normal
 from ..operators import latest
 from ..sources.hashed import HASHED_SQL, hashed, norm_sql
 from ..sources.runs import one_group_each, read_run, write_run
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 from ..sources.tables import EVENTS_SQL, LEADS_SQL, events, leads, table
 from .labels import _label, duration_label
 from .registry import query
@@ -31,7 +31,7 @@ SELECT CAST(run AS VARCHAR) AS run, grp, size, id, hash FROM g JOIN r USING (run
 )
 def persisted_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of three runs, written and read back; run 1 is written twice and counts once."""
-    base, rows = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}", hashed(spark, sf_dir).select("id", "hash")
+    base, rows = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}", written(hashed(spark, sf_dir).select("id", "hash"), "hashed")
     for run in (0, 1, 2, 1):
         tables = group_tables(rows.where(F.col("id") % 3 == run))
         write_run(spark, base, str(run), tables | {"members": one_group_each(tables["members"], "id", "grp")})
