@@ -1,10 +1,12 @@
 """WARC revisit resolution: archives that hold each payload once.
 
-Headers alone are shuffled by payload digest to find each payload's first page. Revisit records
-hold no payload, so they are made from the joined headers; payloads are only read again by the
-responses, a scan without the revisits. The archives are written with fresh headers as plain
-WARC files by Spark's own writer, so any file system that Spark writes will do. Reading back parses
-records by their Content-Length and checks the digests.
+Headers alone, each with its file and row, are shuffled by payload digest to find each payload's
+first page. Revisit records hold no payload, so they are made from the joined headers. Payloads are
+only read again by the responses: a scan that skips the rows set in bitmaps of the revisits, which
+are sent to the tasks a bounded number at a time, each time with the files that they are of. So no
+payload is ever shuffled, however many revisits there are. The archives are written with fresh
+headers as plain WARC files by Spark's own writer, so any file system that Spark writes will do.
+Reading back parses records by their Content-Length and checks the digests.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batched, by_rows, fresh_path, small, table, tidy, utf8, written
+from .common import arrow_schema, batched, by_rows, discard, fresh_path, table, tidy, utf8, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that an archive file should have, and those that it never exceeds by more than a record.
 ARCHIVE_BYTES, MOST_BYTES = 16 << 20, 1 << 30
+#: Bitmaps of revisits (4 KB, for 32,768 rows of a file) that are sent to the tasks at a time.
+SENT_BITMAPS = 16_384
 URN = "urn:page:"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -73,39 +77,88 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
+def _placed(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload of each row and where it is stored: file and row."""
+    at = pages.metadataColumn("_metadata")
+    return pages.select("page_id", "url", utf8("html").alias("payload"), at["file_path"].alias("file"), at["row_index"].alias("row"))
+
+
+def _bitmaps(places: DataFrame) -> DataFrame:
+    """(in_file, block, bits): the rows (file, row) as a bitmap for every 32,768 rows of a file."""
+    block, bit = F.bitmap_bucket_number(F.col("row") + 1), F.bitmap_bit_position(F.col("row") + 1)
+    return places.groupBy(F.col("file").alias("in_file"), block.alias("block")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+
+
+def _rounds(headers: DataFrame, bitmaps: DataFrame) -> list[tuple[str, str] | None]:
+    """Ranges (first, last) of file names with at most SENT_BITMAPS bitmaps each, or one file; None
+    means all files. The driver gets a row for each file, as it does to plan any scan."""
+    if bitmaps.count() <= SENT_BITMAPS:
+        return [None]
+    counts = bitmaps.groupBy("in_file").agg(F.count("*").alias("n"))
+    files = headers.select("file").distinct().join(counts, F.col("file") == F.col("in_file"), "left")
+    out, sent = [], 0
+    for file, n in sorted((r.file, r.n or 0) for r in files.select("file", "n").collect()):
+        if out and sent + n <= SENT_BITMAPS:
+            out[-1], sent = (out[-1][0], file), sent + n
+        else:
+            out, sent = [*out, (file, file)], n
+    return out
+
+
+def unmarked(src: DataFrame, bitmaps: DataFrame, files: tuple[str, str] | None) -> DataFrame:
+    """The rows of src, a result of _placed, in a range of files, that no bitmap marks: a scan that drops rows."""
+    bit = F.bitmap_bit_position(F.col("row") + 1)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    if files:
+        src, bitmaps = src.where(F.col("file").between(*files)), bitmaps.where(F.col("in_file").between(*files))
+    marked = (F.col("file") == F.col("in_file")) & (F.bitmap_bucket_number(F.col("row") + 1) == F.col("block"))
+    return src.join(F.broadcast(bitmaps), marked & (F.getbit(byte, (bit % 8).cast("int")) == 1), "left_anti")
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE, stored: bool = False) -> None:
     """Writes a record for every row of pages (page_id, url, html) to WARC files under path.
 
     Of rows with equal payloads of at least min_bytes the smallest page_id is the response and
     the others revisit it; rows that repeat that smallest page_id are responses as well, a null
     page_id is never the smallest, and a payload that only null ids have is always a response.
+    stored: pages is a Parquet table as it was read, filtered at most, so that a row is known by
+    its file and place; other pages are written once to the shared folder.
     """
     batched(pages.sparkSession)
     kind = pages.schema["page_id"].dataType.simpleString()
-    src = pages.select("page_id", "url", utf8("html").alias("payload"))
+    if not stored:
+        pages = written(pages.select("page_id", "url", "html"), "pages")
+    src = _placed(pages)
 
     def heads(b: dict[str, list]) -> dict[str, list]:
         return b | {"digest": [payload_digest(x) for x in b["payload"]], "size": [len(x) for x in b["payload"]]}
 
-    headers = written(by_rows(src, heads, f"page_id {kind}, url string, digest string, size long"), "headers")
+    headers = written(by_rows(src, heads, f"page_id {kind}, url string, digest string, size long, file string, row long"), "headers")
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     firsts = headers.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
     firsts = written(firsts.where("n > 1 and first is not null").select("digest", "first"), "firsts")
     again = headers.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
-    again = again.select("page_id", "url", "size", "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    again = again.select("page_id", "url", "size", "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), "file", "row")
     again = written(again, "revisits")
-    gone = small(written(again.select(F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct(), "revisit_keys"))
-    digested = by_rows(src, heads, f"page_id {kind}, url string, payload binary, digest string, size long")
-    whole = digested.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left_anti")
+    bitmaps = written(_bitmaps(again), "revisit_rows")
 
     def records(b: dict[str, list]) -> dict[str, list]:
-        cols = (b.get(n) or [None] * len(b["digest"]) for n in ("page_id", "url", "size", "digest", "payload", "first_id", "first_url"))
+        cols = (b.get(n) or [None] * len(b["page_id"]) for n in ("page_id", "url", "size", "digest", "payload", "first_id", "first_url"))
         return {"record": [warc_record(*row, date) for row in zip(*cols, strict=True)]}
 
+    def response(b: dict[str, list]) -> dict[str, list]:
+        return records(heads(b))
+
     stats = headers.agg(F.avg("size").alias("mean"), F.max("size").alias("most")).first()
     per_file = max(1, min(int(ARCHIVE_BYTES // ((stats["mean"] or 0) + 600)), int(MOST_BYTES // ((stats["most"] or 0) + 600))))
-    out = by_rows(whole, records, "record binary").union(by_rows(again, records, "record binary"))
-    out.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
+    revisits = by_rows(again, records, "record binary")
+    for i, files in enumerate(_rounds(headers, bitmaps)):
+        out = by_rows(unmarked(src, bitmaps, files).select("page_id", "url", "payload"), response, "record binary")
+        out = out.union(revisits) if i == 0 else out
+        to = out.select(F.col("record").cast("string")).write.mode("append").option("lineSep", "\r\n\r\n")
+        to.option("maxRecordsPerFile", per_file).text(path)
+    if not stored:
+        discard(pages)
 
 
 def read_archives(spark: SparkSession, path: str, kind: str = "long") -> DataFrame:
@@ -139,7 +192,7 @@ def read_archives(spark: SparkSession, path: str, kind: str = "long") -> DataFra
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = table(spark, sf_dir, "pages"), fresh_path(spark, "warc")
-    write_archives(pages, path)
+    write_archives(pages, path, stored=True)
     return read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 

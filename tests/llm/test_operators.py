@@ -344,17 +344,60 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert rate > 0.95
 
 
-def test_warc_revisits_name_their_response(spark):
-    """Of 200 pages with 40 payloads, 40 records are responses and the others name the first of theirs."""
+def _revisits(spark, tmp_path, files):
+    rows = [(i, f"u{i}", f"page {i % 40}" * 50) for i in range(200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(files).write.parquet(f"{tmp_path}/pages.parquet")
+    return spark.read.parquet(f"{tmp_path}/pages.parquet")
+
+
+@pytest.mark.parametrize("sent", [op4_warc.SENT_BITMAPS, 2, 0])
+def test_warc_revisits_name_their_response(spark, tmp_path, monkeypatch, sent):
+    """Of 200 pages with 40 payloads, 40 records are responses and the others name the first of
+    theirs, whether the bitmaps are sent at once or in rounds of files."""
     from pyspark.sql import functions as F
 
-    rows = [(i, f"u{i}", f"page {i % 40}" * 50) for i in range(200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = op4_warc.fresh_path(spark, "warc")
-    op4_warc.write_archives(pages, path)
-    got = op4_warc.read_archives(spark, path)
-    assert got.count() == 200 and got.where("record_type = 'response'").count() == 40
-    assert got.where((F.col("record_type") == "revisit") & (F.col("refers_to") != F.col("page_id") % 40)).count() == 0
+    monkeypatch.setattr(op4_warc, "SENT_BITMAPS", sent)
+    pages = _revisits(spark, tmp_path, 7)
+    for stored in (True, False):
+        path = op4_warc.fresh_path(spark, "warc")
+        op4_warc.write_archives(pages, path, stored=stored)
+        got = op4_warc.read_archives(spark, path)
+        assert got.count() == 200 and got.where("record_type = 'response'").count() == 40
+        assert got.where((F.col("record_type") == "revisit") & (F.col("refers_to") != F.col("page_id") % 40)).count() == 0
+
+
+def test_warc_moves_no_payload(spark, tmp_path, monkeypatch):
+    """With automatic broadcasts off and bitmaps sent one at a time, the responses' scan has no
+    exchange but the broadcast of its bitmaps, and reads the files of its round only."""
+    pages = _revisits(spark, tmp_path, 5)
+    src = op4_warc._placed(pages)
+    bitmaps = op4_warc.written(op4_warc._bitmaps(src.where("page_id >= 40")), "bitmaps")
+    monkeypatch.setattr(op4_warc, "SENT_BITMAPS", 1)
+    rounds = op4_warc._rounds(src, bitmaps)
+    assert len(rounds) == 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # one file a partition
+    try:
+        assert src.rdd.getNumPartitions() == 5
+        assert [src.where(src.file.between(*files)).rdd.getNumPartitions() for files in rounds] == [1] * 5
+        got = [op4_warc.unmarked(src, bitmaps, files) for files in rounds]
+        ids = sorted(r.page_id for df in got for r in df.select("page_id").collect())
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in got]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ids == list(range(40))
+    assert all("BroadcastExchange" in p and "hashpartitioning" not in p and "SortMergeJoin" not in p for p in plans)
+
+
+def test_warc_bits_beyond_a_block(spark, tmp_path):
+    """Rows of one file on both sides of a bitmap's end."""
+    n = 70_000
+    spark.range(n).coalesce(1).selectExpr("id AS page_id", "'u' AS url", "'x' AS html").write.parquet(f"{tmp_path}/p.parquet")
+    src = op4_warc._placed(spark.read.parquet(f"{tmp_path}/p.parquet"))
+    marked = src.where("page_id % 3 = 0 OR page_id BETWEEN 32760 AND 32776")
+    got = op4_warc.unmarked(src, op4_warc._bitmaps(marked), None)
+    assert sorted(r.page_id for r in got.select("page_id").collect()) == [i for i in range(n) if i % 3 and not 32760 <= i <= 32776]
 
 
 def test_simhash_rows_from_definitions(spark):
