@@ -5,10 +5,16 @@ each task, summed by Spark). A document is a mixture: every word comes from one
 the likelihood of its trigrams, and expectation-maximisation estimates the proportions. The
 language set is the one with the best likelihood less a penalty for each language; the
 prediction is the set's largest language, its score that language's proportion.
+
+All sums of a document run over its distinct words and their counts, taken from blocks of the text
+in turn: a task holds the words of one block in all languages, and those of one document in the
+languages of its shortlist, which the first round of the mixture over all languages draws. A word
+is held whole, with about 40 bytes for each of its own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +31,8 @@ BUCKETS = 15
 MAX_LANGUAGES = 200
 #: Rounds of expectation-maximisation, and nats for each language in the set and log word count.
 ROUNDS, PENALTY = 10, 1.0
+#: Languages on a document's shortlist, of which its set is chosen, and bytes of text in a block.
+SHORTLIST, BLOCK = 12, 1 << 18
 UNKNOWN = "und"
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,16 +92,64 @@ def train(docs: DataFrame, languages: int = MAX_LANGUAGES) -> tuple[list[str], n
     return langs, np.log(n / n.sum(axis=1, keepdims=True))
 
 
-def _mixture(lik: np.ndarray, start: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, log likelihood) of each document; lik: words x languages, allowed: documents
-    x languages, start and size: each document's words."""
+def _grouped(texts: list[bytes]) -> Iterator[list[int]]:
+    """Places of consecutive texts of at most BLOCK bytes together, or of one longer text."""
+    group, size = [], 0
+    for i, t in enumerate(texts):
+        if group and size + len(t) > BLOCK:
+            yield group
+            group, size = [], 0
+        group.append(i)
+        size += len(t)
+    if group:
+        yield group
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """text in pieces that end at the first blank after BLOCK bytes."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + BLOCK)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def _blocks(texts: list[bytes]) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(distinct words of each piece, how often each word is there, the text it is of) by block."""
+    pieces = []
+    for i, t in enumerate(texts):
+        for piece in _cut(t.translate(_LETTERS)):
+            words = Counter(piece.split())
+            if words:
+                n = np.fromiter(words.values(), float, len(words))
+                pieces.append((b" ".join(words), n, np.full(len(words), i)))
+    if len(texts) == 1:
+        return [([w], n, i) for w, n, i in pieces]
+    return [([w for w, _, _ in pieces], *(np.concatenate([p[k] for p in pieces]) for k in (1, 2)))] if pieces else []
+
+
+def _added(total: np.ndarray, owner: np.ndarray, x: np.ndarray) -> None:
+    """Adds each word's x to the row of total of its text; owner rises."""
+    at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    total[owner[at]] += np.add.reduceat(x, at, axis=0, dtype=float)
+
+
+def _mixture(words: list[tuple], size: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log likelihood) of each text. words: (likelihoods: words x languages, counts,
+    text of each word) by block; size: words of each text, allowed: texts x languages."""
     pi = allowed / allowed.sum(axis=1, keepdims=True)
     for _ in range(ROUNDS):
-        r = lik * np.repeat(pi, size, axis=0)
-        r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-300)
-        pi = np.add.reduceat(r, start, axis=0) / size[:, None]
-    like = np.log(np.maximum((lik * np.repeat(pi, size, axis=0)).sum(axis=1), 1e-300))
-    return pi, np.add.reduceat(like, start)
+        total = np.zeros_like(pi)
+        for lik, n, owner in words:
+            r = lik * pi[owner]
+            r *= (n / np.maximum(r.sum(axis=1), 1e-300))[:, None]
+            _added(total, owner, r)
+        pi = total / size[:, None]
+    like = np.zeros(len(size))
+    for lik, n, owner in words:
+        _added(like, owner, n * np.log(np.maximum((lik * pi[owner]).sum(axis=1), 1e-300)))
+    return pi, like
 
 
 def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,42 +157,66 @@ def infer(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     text or half of its words are at least as likely in its mixture as trigrams at random) of each text."""
     fits = np.zeros(len(texts), bool)
     best, score, chosen = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), int)
-    letters = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
-    bucket, first, owner = trigrams(texts)
-    if not len(first) or not len(logp):
-        return best, score, chosen, fits
-    # each byte is in three trigrams, so a word's likelihood takes the cube root
-    ll = np.stack([np.add.reduceat(p[bucket], first) for p in logp], axis=1) / 3
-    top = ll.max(axis=1, keepdims=True)
-    lik = np.exp(ll - top)
-    docs, start = np.unique(owner, return_index=True)
-    size = np.diff(np.r_[start, len(owner)])
-    languages = len(logp)
-    single = np.add.reduceat(ll - top, start, axis=0)
-    pi, full = _mixture(lik, start, size, np.ones((len(docs), languages)))
+    at = [i for i, t in enumerate(texts) if len(logp) and _LETTER.search(t.decode("utf-8", "replace"))]
+    for group in _grouped([texts[i] for i in at]):
+        to = [at[i] for i in group]
+        best[to], score[to], chosen[to], fits[to] = _inferred([texts[i] for i in to], logp)
+    return best, np.clip(score, 0, 1), chosen, fits
+
+
+def _inferred(texts: list[bytes], logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """infer() for texts with a letter, of which all words are held together."""
+    blocks = _blocks(texts)
+    rows, languages = len(texts), len(logp)
+    size, single, first = np.zeros(rows), np.zeros((rows, languages)), np.zeros((rows, languages))
+    tops = []
+    for pieces, n, owner in blocks:
+        bucket, begin, _ = trigrams(pieces)
+        # each byte is in three trigrams, so a word's likelihood takes the cube root
+        ll = np.stack([np.add.reduceat(p[bucket], begin) for p in logp], axis=1) / 3
+        tops.append(ll.max(axis=1))
+        ll -= tops[-1][:, None]
+        _added(size, owner, n)
+        _added(single, owner, ll * n[:, None])
+        np.exp(ll, out=ll)
+        ll *= (n / ll.sum(axis=1))[:, None].astype(ll.dtype)
+        _added(first, owner, ll)
+    short = np.sort(np.argsort(-first, axis=1, kind="stable")[:, :SHORTLIST], axis=1)
+    words, lengths = [], []
+    for (pieces, n, owner), top in zip(blocks, tops, strict=True):
+        bucket, begin, _ = trigrams(pieces)
+        lengths.append(np.diff(np.r_[begin, len(bucket)]))
+        of = np.repeat(owner, lengths[-1])
+        ll = np.stack([np.add.reduceat(logp[c[of], bucket], begin) for c in short.T], axis=1) / 3
+        words.append((np.exp(ll - top[:, None]), n, owner))
+    pi, full = _mixture(words, size, np.ones(short.shape))
     rank = np.argsort(-pi, axis=1, kind="stable")
     cost = PENALTY * np.log(size + 1.0)
     one = single.argmax(axis=1)
-    value, pred, share, count = single.max(axis=1) - cost, one.copy(), pi[np.arange(len(docs)), one], np.ones(len(docs), int)
-    for m in range(2, languages + 1):
+    share = np.where(short == one[:, None], pi, 0).sum(axis=1)
+    value, pred, count = single.max(axis=1) - cost, one.copy(), np.ones(rows, int)
+    for m in range(2, short.shape[1] + 1):
         # a set of m languages is at most as likely as all of them
         todo = np.flatnonzero(full - m * cost > value)
         if not len(todo):
             break
-        allowed = np.zeros((len(todo), languages))
+        allowed = np.zeros((len(todo), short.shape[1]))
         np.put_along_axis(allowed, rank[todo, :m], 1.0, axis=1)
-        words = np.concatenate([np.arange(s, s + n) for s, n in zip(start[todo], size[todo])])
-        p, like = _mixture(lik[words], np.r_[0, np.cumsum(size[todo])[:-1]], size[todo], allowed)
+        some = words
+        if len(todo) < rows:
+            keep = [np.isin(owner, todo) for _, _, owner in words]
+            some = [(lik[k], n[k], np.searchsorted(todo, owner[k])) for (lik, n, owner), k in zip(words, keep, strict=True)]
+        p, like = _mixture(some, size[todo], allowed)
         won = like - m * cost[todo] > value[todo]
-        at = todo[won]
-        value[at], pred[at], share[at], count[at] = (like - m * cost[todo])[won], p[won].argmax(axis=1), p[won].max(axis=1), m
-    ok = letters[docs]
-    word = top[:, 0] + np.log(np.maximum((lik * np.repeat(pi, size, axis=0)).sum(axis=1), 1e-300))
-    gain = word + np.diff(np.r_[first, len(bucket)]) / 3 * BUCKETS * np.log(2)
-    most = 2 * np.add.reduceat(gain >= 0, start, dtype=np.int64) >= size
-    fits[docs] = ok & (most | (np.add.reduceat(gain, start) >= 0))
-    best[docs[ok]], score[docs[ok]], chosen[docs[ok]] = pred[ok], share[ok], count[ok]
-    return best, np.clip(score, 0, 1), chosen, fits
+        to = todo[won]
+        value[to], share[to], count[to] = (like - m * cost[todo])[won], p[won].max(axis=1), m
+        pred[to] = short[to, p[won].argmax(axis=1)]
+    gains, likely = np.zeros(rows), np.zeros(rows)
+    for (lik, n, owner), top, length in zip(words, tops, lengths, strict=True):
+        gain = top + np.log(np.maximum((lik * pi[owner]).sum(axis=1), 1e-300)) + length / 3 * BUCKETS * np.log(2)
+        _added(gains, owner, n * gain)
+        _added(likely, owner, n * (gain >= 0))
+    return pred, share, count, (2 * likely >= size) | (gains >= 0)
 
 
 def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
