@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.latest import running
 from ..sources import html, threads
+from ..sources.shared import written
 from ..sources.tables import table
 from .listings import _text
 from .registry import query
@@ -74,13 +76,15 @@ def site_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A site's page texts in page order, joined by an empty line and cut at 20,000 characters."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^([a-zA-Z]+://[^/?#]+)", 1)).alias("site"))
     texts = html.parsed(table(spark, sf_dir, "pages")).where("text <> ''").join(pages, "page_id").select("site", "page_id", "text")
-    return joined_texts(texts, MOST_CHARS).select("site", F.length("text").alias("n"), F.sha2("text", 256).alias("fingerprint"))
+    return joined_texts(written(texts, "page_texts"), MOST_CHARS).select("site", F.length("text").alias("n"), F.sha2("text", 256).alias("fingerprint"))
 
 
 def joined_texts(texts: DataFrame, most: int) -> DataFrame:
-    """(site, text): only pages that begin within the first characters are gathered."""
-    before = F.sum(F.length("text") + 2).over(Window.partitionBy("site").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
-    used = texts.withColumn("at", F.coalesce(before, F.lit(0))).where(F.col("at") < most)
+    """(site, text): only pages that begin within the first characters are gathered. Where a page begins
+    is found in two levels, within 4,096 page ids and over a site's such ranges, so no task orders a large site."""
+    size = F.length("text") + 2
+    placed = running(texts, ["site"], F.floor(F.col("page_id") / 4096), ["page_id"], end=size)
+    used = placed.where(F.col("end") - size < most)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.substring("text", 1, most).alias("text")))), lambda x: x.text)
     return used.groupBy("site").agg(F.substring(F.array_join(parts, "\n\n"), 1, most).alias("text"))
 

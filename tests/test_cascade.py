@@ -210,6 +210,16 @@ def test_site_texts_are_joined_and_cut(spark):
     assert got == {"a": "first\n\nsecond\n\nth", "b": "x" * 17}
 
 
+def test_joined_texts_over_ranges_of_ids(spark):
+    """Pages of a site on both sides of 4,096 ids, against joining in a loop."""
+    from siltline.plans import crawl
+
+    rows = [("a", i * 700, "t" * (i % 5 + 1) + str(i)) for i in range(40)] + [("b", 9_000, "x" * 200), ("b", 1, ""), (None, 5, "n")]
+    got = {r.site: r.text for r in crawl.joined_texts(spark.createDataFrame(rows, "site string, page_id long, text string"), 150).collect()}
+    assert got == {s: "\n\n".join(t for g, _, t in sorted(rows, key=lambda r: r[1]) if g == s)[:150] for s in ("a", "b", None)}
+
+
+
 def test_session_windows_against_plain_python(spark):
     from siltline.plans import reports
 
