@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import keyword_normal, unit
+from ..functions.text import SPACE, keyword_normal, unit
 
+#: Its end of a word is stated, as engines differ in what letters \b knows.
 QUESTION = (
-    r"\?|^\s*(?:who|what|when|where|why|how|which|is|are|does|do|did|can|could|should|would|will|has|have|any|anyone|anybody|looking\s+for\s+advice)\b"
+    rf"\?|^{SPACE}*(?:who|what|when|where|why|how|which|is|are|does|do|did|can|could|should|would|will|has|have|any|anyone|anybody|looking{SPACE}+for{SPACE}+advice)"
+    r"(?:[^\p{L}\p{N}_]|$)"
 )
 #: Component weights; they are divided by their sum.
 WEIGHTS = {"tier": 0.05, "density": 0.05, "question": 0.03, "recency": 0.07, "engagement": 0.05, "length": 0.03}
@@ -34,7 +36,7 @@ def density(hits: dict[str, Column]) -> Column:
 
 
 def question(title: Column) -> Column:
-    return F.when(title.rlike("(?i)" + QUESTION), 1.0).otherwise(0.0)
+    return F.when(title.rlike("(?iu)" + QUESTION), 1.0).otherwise(0.0)
 
 
 def recency(age_hours: Column, window_days: int = 30) -> Column:

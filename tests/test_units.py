@@ -57,6 +57,18 @@ def test_features(spark):
     assert value(spark, text.unit(F.lit(float("nan")))) == 0.0
 
 
+def test_questions_end_at_whole_words(spark):
+    import duckdb
+
+    from siltline.plans.scoring import FEATURES_SQL
+
+    pattern = FEATURES_SQL.split("regexp_matches(title, ")[1].split(") THEN")[0]
+    cases = {"Doías adomi": 0.0, "do it": 1.0, "Do": 1.0, "do_it": 0.0, "do²": 0.0, "do-it": 1.0, "\u3000how so": 1.0, "\x0bhow so": 1.0, "\u017fhould we": 1.0, "looking\xa0for advice": 1.0, "é?": 1.0, "is漢": 0.0}
+    q = features.question(F.col("t"))
+    assert {t: value(spark, q, t=t) for t in cases} == cases
+    assert {t: float(duckdb.execute(f"SELECT regexp_matches(?, {pattern})", [t]).fetchone()[0]) for t in cases} == cases
+
+
 def test_signatures():
     orders = sketch.probe_orders()
     a, b = sketch.signature("the quick brown fox jumps", orders), sketch.signature("the quick brown fox jumped", orders)
