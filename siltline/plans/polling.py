@@ -48,8 +48,8 @@ SELECT channel, poll, CAST(fresh AS BIGINT) AS fresh, overflow, seen, CAST(rate
 def stream_poll_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The poll step over responses that arrive in four steps."""
     with state_on_disk(spark, idle=False):
-        rows = poll_steps(arriving(responses(spark, sf_dir), "poll"))
-        return settled(rows, ["channel", "poll"])
+        rows, arrivals = arriving(responses(spark, sf_dir), "poll")
+        return settled(poll_steps(rows), ["channel", "poll"], arrivals=arrivals)
 
 
 def cache_counts(requests: DataFrame) -> DataFrame:
@@ -74,5 +74,5 @@ def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     leave by their timers once the stream's time has passed theirs."""
     log = events(spark, sf_dir).select((F.col("id") % 97).alias("url"), "id", "second", (F.col("event_type") == "purchase").alias("put"))
     with state_on_disk(spark):
-        rows = cache_counts(arriving(log.withColumn("at", F.timestamp_seconds("second")), "second"))
-        return settled(rows, ["url"])
+        rows, arrivals = arriving(log.withColumn("at", F.timestamp_seconds("second")), "second")
+        return settled(cache_counts(rows), ["url"], arrivals=arrivals)

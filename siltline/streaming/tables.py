@@ -7,7 +7,7 @@ restarted query gives the same rows. The newest batch of a key is its final stat
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +23,24 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def arriving(df: DataFrame, order: str, steps: int = 4, files: int = 1) -> DataFrame:
-    """df as a stream that came in steps of rising order, files of them to a micro-batch. A step is
-    written after the one before it, and a file source reads older files first."""
+def arriving(df: DataFrame, order: str, steps: int = 4) -> tuple[DataFrame, Iterator[None]]:
+    """df as a stream that comes in steps of rising order, and what brings them: each turn of it
+    writes one step. A step has as many files as it has, in no order, so settled makes it one
+    micro-batch before the next one comes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
-    cuts = df.stat.approxQuantile(order, [i / steps for i in range(1, steps)], 0.01) if steps > 1 else []
-    last = None
-    for cut in [*sorted(set(cuts)), None]:
-        step = df if cut is None else df.where(F.col(order) <= cut)
-        (step if last is None else step.where(F.col(order) > last)).write.mode("append").parquet(path)
-        last = cut
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    spark.createDataFrame([], df.schema).write.parquet(path)  # so that the folder is there
+
+    def bring() -> Iterator[None]:
+        cuts = df.stat.approxQuantile(order, [i / steps for i in range(1, steps)], 0.01) if steps > 1 else []
+        last = None
+        for cut in [*sorted(set(cuts)), None]:
+            step = df if cut is None else df.where(F.col(order) <= cut)
+            (step if last is None else step.where(F.col(order) > last)).write.mode("append").parquet(path)
+            last = cut
+            yield
+
+    return spark.readStream.schema(df.schema).parquet(path), bring()
 
 
 @contextmanager
@@ -53,16 +59,16 @@ def state_on_disk(spark: SparkSession, idle: bool = True) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def settled(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """The last row of each key after df, a stream, has seen all files there are."""
+def settled(df: DataFrame, keys: list[str], mode: str = "update", arrivals: Iterable[None] = (None,)) -> DataFrame:
+    """The last row of each key after df, a stream, has seen all files there are after every turn of arrivals."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
+    for _ in arrivals:
+        df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     rows = spark.read.option("basePath", f"{at}/rows").schema(f"{df.schema.toDDL()}, batch int").parquet(f"{at}/rows")
     rest = [c for c in df.columns if c not in keys]
     if not rest:

@@ -28,6 +28,19 @@ def test_the_poll_step_survives_a_restart(spark, tmp_path):
     assert rows[81].seen == 288100 and rows[1].rate is None and rows[2].rate == 1.0 and abs(rows[3].rate - 0.7) < 1e-12
 
 
+def test_files_of_a_step_come_in_any_order(spark):
+    from siltline.streaming.tables import arriving, settled
+
+    posts = [(1, p, [(p, 3600 * p)]) for p in range(40)]
+    schema = "channel long, poll long, posts array<struct<id:long,second:long>>"
+    df = spark.createDataFrame(posts[::-1], schema).repartition(8)  # a channel's polls lie in several files of a step
+    with state_on_disk(spark, idle=False):
+        rows, arrivals = arriving(df, "poll", 2)
+        got = settled(polling.poll_steps(rows), ["channel", "poll"], arrivals=arrivals).collect()
+    assert {r.poll: r.seen for r in got} == {p: 3600 * p for p in range(40)}
+    assert all(r.fresh == 1 and (r.rate == 1.0 or r.poll == 0) for r in got)
+
+
 def test_intervals():
     assert interval(None, 0, False) == interval(0.0, 3, False) == 86400
     assert interval(60.0, 0, False) == 3600 and interval(60.0, 0, True) == 1800 and interval(60.0, 2, False) == 7200
