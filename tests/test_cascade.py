@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def test_batch_signatures_equal_plain_ones():
     assert got[-1].tolist() == plain_signature(texts[-1][:60]) and sketch.batch_signatures([], ORDERS).shape == (0, 128)
 
 
+def test_signatures_come_in_small_frames():
+    texts = [None if i % 7 == 0 else f"text number {i}" for i in range(2500)]
+    frames = list(sketch.signature_frames(iter([pd.DataFrame({"key": range(2500), "text": texts})])))
+    assert max(map(len, frames)) <= 1024
+    got = pd.concat(frames)
+    assert got["key"].tolist() == list(range(2500))
+    for t, s, p in zip(texts, got["sig"], got["packed"]):
+        assert (s is None) == (p is None) == (t is None)
+    for i in (1, 1025, 2498):
+        assert got["sig"].iloc[i].tolist() == plain_signature(texts[i])
+
+
 def plain_links(sig, held, places, most):
     """The rounds of the linkage module with all groups of a band in one cell, on sets and loops."""
     of, members, holds = {k: k for k in sig}, {k: [k] for k in sig}, {p: set(ks) for p, ks in places.items()}
