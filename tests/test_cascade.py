@@ -280,3 +280,14 @@ def test_the_cursor_does_not_depend_on_batches():
         for part in np.split(np.arange(80), cuts):
             last = list(advanced((1,), iter([log.iloc[part]]), state))[0]
         assert np.allclose(last.to_numpy(float), whole.to_numpy(float))
+
+
+def test_parts_of_many_items_take_one_task(spark, monkeypatch):
+    """A part above a cell's size makes no written rounds, and gives what plain rounds give."""
+    sig = variants(np.random.default_rng(12), 260, 2, 12)
+    names = []
+    keep = linkage.written
+    monkeypatch.setattr(linkage, "written", lambda df, name: names.append(name) or keep(df, name))
+    items, got = linked(spark, sig, set(list(sig)[::50]), linkage.CELL, linkage.KEEP, parts=True)
+    assert "stood" not in names
+    assert got == plain_links(sig, set(list(sig)[::50]), found_places(spark, items), 19)
