@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE_RE2, cache_normal, keyword_normal
+from ..sources.shared import written
 from ..sources.tables import LEADS_SQL, leads, table
 from .registry import query
 from .scoring import _norm, _quoted
@@ -85,7 +86,9 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row asks for each content; rows with the same content wait for it."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(cache_normal(F.col("text")), 256).alias("content"))
-    return rows.join(rows.groupBy("content").agg(F.min("doc_id").alias("caller")), "content").select("doc_id", "caller")
+    rows = written(rows, "contents")  # texts are normalised once, and only hashes are dealt
+    first = rows.groupBy(F.col("content").alias("same")).agg(F.min("doc_id").alias("caller"))
+    return rows.join(first, F.col("content").eqNullSafe(F.col("same"))).select("doc_id", "caller")
 
 
 #: Kinds of time-bound data and their patterns, in this order (fixed values).
