@@ -65,3 +65,16 @@ def test_pivots_compare_few_vectors_of_clusters(spark):
 def test_no_vectors(spark):
     none = spark.createDataFrame([(1, None), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert sphere.near_vectors(none).count() == 0
+
+
+def test_dealt_vectors_leave_in_small_frames(spark, monkeypatch):
+    """Vectors without clusters visit every cell; no frame holds a batch times its cells."""
+    monkeypatch.setattr(sphere, "DEALT", 50)
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 4)))], "vec_id long, embedding array<double>")
+    unit = np.array([r.embedding for r in df.collect()])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
+    assert sorted([r.a, r.b] for r in sphere.near_vectors(df, 40).collect()) == want
+    frames = list(sphere.parts(iter([df.toPandas()]), 50))
+    assert max(map(len, frames)) == 50 and sum(map(len, frames)) == 600
