@@ -67,6 +67,32 @@ def test_no_vectors(spark):
     assert sphere.near_vectors(none).count() == 0
 
 
+def test_nearest_over_blocks(spark):
+    """Blocks far below the tables, copies, a zero vector and nulls against plain sorting."""
+    rng = np.random.default_rng(8)
+    vecs = [v.tolist() for v in rng.normal(size=(70, 6))]
+    vecs[40:44] = [vecs[0]] * 4
+    vecs[13] = None
+    rows = [(i, v) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    want = {}
+    for q in range(0, 70, 10):
+        rate = {i: round(float(np.dot(vecs[q], v) / np.linalg.norm(vecs[q]) / np.linalg.norm(v)), 6) for i, v in rows if i != q and v}
+        want |= {(q, i): rate[i] for i in sorted(rate, key=lambda i: (-rate[i], i))[:3]}
+    for block in (7, 4096):
+        got = {(r["query"], r.other): r.cosine for r in sphere.nearest(df.where("id % 10 = 0"), df, 3, block).collect()}
+        assert got == want
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id long, embedding array<double>")
+    got = [(r["query"], r.other, str(r.cosine)) for r in sphere.nearest(few.where("id < 2"), few, 3).orderBy("query", "other").collect()]
+    assert got == [(0, 1, "None"), (0, 2, "nan"), (0, 3, "0.707107"), (1, 0, "None"), (1, 2, "None"), (1, 3, "None")]
+
+
+def test_nearest_makes_no_row_a_pair(spark):
+    df = spark.range(5000).selectExpr("id", "array(sin(id), cos(id), 1D) AS embedding")
+    plan = sphere.nearest(df.where("id % 50 = 0"), df, 3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_dealt_vectors_leave_in_small_frames(spark, monkeypatch):
     """Vectors without clusters visit every cell; no frame holds a batch times its cells."""
     monkeypatch.setattr(sphere, "DEALT", 50)
