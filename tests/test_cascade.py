@@ -291,3 +291,12 @@ def test_parts_of_many_items_take_one_task(spark, monkeypatch):
     items, got = linked(spark, sig, set(list(sig)[::50]), linkage.CELL, linkage.KEEP, parts=True)
     assert "stood" not in names
     assert got == plain_links(sig, set(list(sig)[::50]), found_places(spark, items), 19)
+
+
+def test_cosines_of_the_cascade_are_made_once(spark, monkeypatch):
+    names = []
+    keep = cascade.written
+    monkeypatch.setattr(cascade, "written", lambda df, name: names.append(name) or keep(df, name))
+    posts = spark.createDataFrame([(1, "one thing", ""), (2, "other words", "")], "id long, title string, body string")
+    got = cascade.cascade(posts, spark.createDataFrame([(1, 2, 0.95)], "a long, b long, cosine double")).collect()
+    assert "cosines" in names and {(r.id, r.grp, r.method) for r in got} == {(1, 1, "semantic"), (2, 1, "semantic")}
