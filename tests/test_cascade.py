@@ -300,3 +300,48 @@ def test_cosines_of_the_cascade_are_made_once(spark, monkeypatch):
     posts = spark.createDataFrame([(1, "one thing", ""), (2, "other words", "")], "id long, title string, body string")
     got = cascade.cascade(posts, spark.createDataFrame([(1, 2, 0.95)], "a long, b long, cosine double")).collect()
     assert "cosines" in names and {(r.id, r.grp, r.method) for r in got} == {(1, 1, "semantic"), (2, 1, "semantic")}
+
+
+def plain_cosine_links(of, held, cosines):
+    """Best pairs first, one at a time, on plain sets: the groups, and who came late."""
+    of, late = dict(of), set()
+    members = {}
+    for k, g in of.items():
+        members.setdefault(g, []).append(k)
+    known = {(a, b) for a, b, _ in cosines}
+    for a, b, _ in sorted(cosines, key=lambda p: (-p[2], p[0], p[1])):
+        x, y = sorted((of[a], of[b]))
+        free = [g for g in (x, y) if len(members[g]) == 1 and g not in held]
+        if x != y and free and all((min(p, q), max(p, q)) in known for p in members[x] for q in members[y]):
+            late |= set(free)
+            members[x] += members.pop(y)
+            of |= dict.fromkeys(members[x], x)
+    return {k: (g, k in late) for k, g in of.items()}
+
+
+@pytest.mark.parametrize("wide", [linkage.WIDE, 20, 0])
+def test_cosine_links_equal_plain_ones(spark, wide):
+    """Cliques with gaps, chains, equal cosines, held items and groups; in tasks and in written rounds."""
+    rng = random.Random(5)
+    of, cosines, held = {}, {}, set()
+    for c, (n, share) in enumerate([(30, 1.0), (25, 0.9), (18, 0.6), (40, 0.15), (2, 1.0), (9, 1.0)]):
+        keys = [c * 100 + i for i in range(n)]
+        rng.shuffle(keys)
+        of |= {k: k for k in keys}
+        held |= set(rng.sample(keys, n // 8))
+        near = sorted(rng.sample(keys, n // 4))  # a group of the near tier
+        of |= dict.fromkeys(near, near[0]) if c != 4 else {}
+        for i, a in enumerate(keys):
+            for b in keys[i + 1 :]:
+                if rng.random() < share or {a, b} <= set(near):
+                    cosines[min(a, b), max(a, b)] = round(rng.uniform(0.9, 1.0), 2 if c % 2 else 6)
+    of |= {k: k for k in range(900, 930)}
+    cosines |= {(k, k + 1): 0.9 + k / 10_000 for k in range(900, 929)}  # a chain, the best pair last
+    held = {k for k in held if list(of.values()).count(of[k]) == 1 or of[k] == k}
+    rows = [(a, b, c) for (a, b), c in cosines.items()]
+    near = spark.createDataFrame(list(of.items()), "key long, grp long")
+    marks = spark.createDataFrame([(k, k in held) for k in of], "key long, held boolean")
+    got = linkage.cosine_links(near, marks, spark.createDataFrame(rows, "a long, b long, cosine double"), wide)
+    want = plain_cosine_links(of, held, rows)
+    assert {r.key: (r.grp, r.late) for r in got.collect()} == want
+    assert sum(late for _, late in want.values()) > 50
