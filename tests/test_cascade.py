@@ -345,3 +345,26 @@ def test_cosine_links_equal_plain_ones(spark, wide):
     want = plain_cosine_links(of, held, rows)
     assert {r.key: (r.grp, r.late) for r in got.collect()} == want
     assert sum(late for _, late in want.values()) > 50
+
+
+def test_a_long_chain_of_cosines_needs_no_rounds(spark, monkeypatch):
+    """Each pair but the last is better than the one before, so one pair at a time would join in rounds."""
+    names = []
+    keep = linkage.written
+    monkeypatch.setattr(linkage, "written", lambda df, name: names.append(name) or keep(df, name))
+    n = 600
+    rows = [(k, k + 1, 0.9 + k / 10_000) for k in range(n - 1)]
+    near = spark.range(n).selectExpr("id AS key", "id AS grp")
+    got = linkage.cosine_links(near, near.selectExpr("key", "false AS held"), spark.createDataFrame(rows, "a long, b long, cosine double"))
+    assert {r.key: (r.grp, r.late) for r in got.collect()} == {k: (k - k % 2, True) for k in range(n)}
+    assert names.count("moves") == 1
+
+
+def test_texts_of_the_cascade_are_normalised_once(spark, monkeypatch):
+    """Also where an id comes twice, with one text or with another."""
+    names = []
+    keep = cascade.written
+    monkeypatch.setattr(cascade, "written", lambda df, name: names.append(name) or keep(df, name))
+    posts = spark.createDataFrame([(1, "One  thing", ""), (1, "one thing", ""), (2, "other words", ""), (3, "ONE thing", "")], "id long, title string, body string")
+    got = cascade.cascade(posts).collect()
+    assert names.count("normal") == 1 and sorted((r.id, r.grp, r.method) for r in got) == [(1, 1, "exact"), (1, 1, "exact"), (3, 1, "exact")]

@@ -104,3 +104,17 @@ def test_dealt_vectors_leave_in_small_frames(spark, monkeypatch):
     assert sorted([r.a, r.b] for r in sphere.near_vectors(df, 40).collect()) == want
     frames = list(sphere.parts(iter([df.toPandas()]), 50))
     assert max(map(len, frames)) == 50 and sum(map(len, frames)) == 600
+
+
+def test_short_numbers_lose_no_near_pair(monkeypatch):
+    """Pairs on the threshold's very edge, tiles with few of them and with many."""
+    monkeypatch.setattr(sphere, "TILE", (16, 64))
+    rng = np.random.default_rng(10)
+    x = sphere.unit_rows(rng.normal(size=(100, 8)))
+    y = sphere.unit_rows(np.concatenate([rng.normal(size=(150, 8)), x[:50] + rng.normal(size=(50, 8)) * 0.02, np.repeat(x[:1], 70, axis=0)]))
+    every = x @ y.T
+    for edge in (0.9, float(every[3, 7]), float(np.nextafter(every[5, 160], 2)), float(every[90, 199])):
+        got = {(int(i), int(j)): float(c) for at, low, cos in sphere.close(x, y, edge) for i, j, c in zip(at, low, cos)}
+        sure = {(int(i), int(j)) for i, j in np.argwhere(every >= edge + 1e-12)}
+        assert sure <= got.keys() <= {(int(i), int(j)) for i, j in np.argwhere(every >= edge - 1e-12)}
+        assert all(abs(every[k] - c) < 1e-12 for k, c in got.items())
