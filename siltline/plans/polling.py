@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from ..sources.tables import EVENTS_SQL, events, table
-from ..streaming.processors import KNOWN_FOR, LONGEST, SHORTEST, TTL, Cache, PollStep
+from ..streaming.processors import BUCKETS, KNOWN_FOR, LONGEST, SHORTEST, TTL, Cache, PollStep
 from ..streaming.tables import arriving, settled, state_on_disk
 from .registry import query
 
@@ -19,7 +20,13 @@ def poll_steps(responses: DataFrame) -> DataFrame:
     A channel's responses must come in poll order from batch to batch; within one they may lie as
     they like. An empty response is a poll without posts.
     """
-    return responses.groupBy("channel").transformWithStateInPandas(PollStep(), POLL_COLUMNS, "update", "processingTime")
+    ids = F.col("posts.id")
+    rows = responses.select(
+        F.pmod(F.xxhash64("channel"), F.lit(BUCKETS)).alias("bucket"), "channel", "poll",
+        F.array_compact(F.array_distinct(ids)).alias("ids"), F.exists(ids, lambda i: i.isNull()).alias("blank"),
+        F.array_min("posts.second").alias("oldest"), F.array_max("posts.second").alias("newest"),
+    )
+    return rows.groupBy("bucket").transformWithStateInPandas(PollStep(), POLL_COLUMNS, "update", "processingTime")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +55,7 @@ SELECT channel, poll, CAST(fresh AS BIGINT) AS fresh, overflow, seen, CAST(rate
 def stream_poll_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The poll step over responses that arrive in four steps."""
     with state_on_disk(spark, idle=False):
-        rows, arrivals = arriving(responses(spark, sf_dir), "poll")
+        rows, arrivals = arriving(written(responses(spark, sf_dir), "responses"), "poll")
         return settled(poll_steps(rows), ["channel", "poll"], arrivals=arrivals)
 
 

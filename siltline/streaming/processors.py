@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Polls (hours) after which a post that was not seen again is unknown, and for how long its state
 #: is kept at all, in case its channel is never polled again.
 KNOWN_FOR, KEPT_MS = 72, 30 * 86_400_000
+#: Buckets of channels; a stream that goes on must keep their number.
+BUCKETS = 2048
 #: Seconds between polls: at least, at most (fixed values).
 SHORTEST, LONGEST = 900, 86_400
 
@@ -29,31 +31,53 @@ def interval(rate: float | None, empty: int, overflow: bool) -> float:
 
 
 class PollStep(StatefulProcessor):
-    """A channel's responses in turn: what is new, whether posts were missed, the cursor, the next poll."""
+    """Responses of a bucket's channels in turn: what is new, whether posts were missed, the cursor, the next poll.
+
+    Every call of a processor or of its state crosses to the JVM and back, so channels are kept by
+    buckets and a bucket's state is read and written once a batch, as columns. Posts not seen for
+    KNOWN_FOR polls leave it, and all posts of a channel that was not polled for KEPT_MS.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "id long", "poll long", ttlDurationMs=KEPT_MS)
-        self.cursor = handle.getValueState("cursor", "seen long, poll long, empty long, rate double")
+        self.known = handle.getValueState("known", "channel array<long>, id array<long>, poll array<long>", ttlDurationMs=KEPT_MS)
+        self.cursors = handle.getValueState("cursors", "channel array<long>, seen array<long>, poll array<long>, empty array<long>, rate array<double>, at array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen, last, empty, rate = self.cursor.get() or (None, None, 0, None)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        cursors = {c: rest for c, *rest in zip(*(self.cursors.get() or [()]))}
+        known: dict[int | None, dict[int | None, int]] = {}
+        for c, i, poll in zip(*(self.known.get() or [()] * 3)):
+            if now - cursors[c][-1] <= KEPT_MS:
+                known.setdefault(c, {})[i] = poll
+        turns: dict[int | None, list] = {}
+        number = lambda x: None if x != x or x is None else int(x)  # noqa: E731  # frames turn null into NaN
+        for b in rows:
+            for c, poll, *rest in zip(b["channel"], b["poll"], b["ids"], b["blank"], b["oldest"], b["newest"]):
+                turns.setdefault(number(c), []).append((int(poll), *rest))
         out = []
-        for poll, posts in sorted(((int(p), x) for b in rows for p, x in zip(b["poll"], b["posts"])), key=lambda r: r[0]):
-            times, fresh = [p["second"] for p in posts], 0
-            for i in {p["id"] for p in posts}:
-                before = self.known.getValue((i,))
-                fresh += before is None or poll - before[0] > KNOWN_FOR
-                self.known.updateValue((i,), (poll,))
-            overflow = bool(times) and seen is not None and min(times) > seen
-            seen = max(times, default=seen) if seen is None else max([seen, *times])
-            if last is not None:
-                observed = fresh / (poll - last)
-                rate = observed if rate is None else 0.3 * observed + 0.7 * rate
-            empty, last = 0 if fresh else empty + 1, poll
-            out.append((key[0], poll, fresh, overflow, seen, rate, interval(rate, empty, overflow)))
-        self.cursor.update((seen, last, empty, rate))
+        for c, polls in turns.items():
+            seen, last, empty, rate, _ = cursors.get(c, (None, None, 0, None, None))
+            mine = known.setdefault(c, {})
+            for poll, ids, blank, oldest, newest in sorted(polls, key=lambda r: r[0]):
+                oldest, newest, fresh = number(oldest), number(newest), 0
+                for i in [*ids.tolist(), *([None] if blank else [])]:
+                    before = mine.get(i)
+                    fresh += before is None or poll - before > KNOWN_FOR
+                    mine[i] = poll
+                overflow = oldest is not None and seen is not None and oldest > seen
+                seen = newest if seen is None or newest is not None and newest > seen else seen
+                if last is not None:
+                    observed = fresh / (poll - last)
+                    rate = observed if rate is None else 0.3 * observed + 0.7 * rate
+                empty, last = 0 if fresh else empty + 1, poll
+                out.append((c, poll, fresh, overflow, seen, rate, interval(rate, empty, overflow)))
+            cursors[c] = (seen, last, empty, rate, now)
+            known[c] = {i: p for i, p in mine.items() if last - p <= KNOWN_FOR}
+        self.cursors.update(tuple(map(list, zip(*((c, *rest) for c, rest in cursors.items())))))
+        kept = [(c, i, p) for c, posts in known.items() for i, p in posts.items()]
+        self.known.update(tuple(map(list, zip(*kept))) or ([], [], []))
         frame = pd.DataFrame(out, columns=["channel", "poll", "fresh", "overflow", "seen", "rate", "seconds"])
-        yield frame.astype({"seen": "Int64", "rate": "float64"})
+        yield frame.astype({"channel": "Int64", "seen": "Int64", "rate": "float64"})
 
     def close(self) -> None:
         pass

@@ -53,3 +53,61 @@ def test_first_failures_with_large_ids(spark):
     rows = [(1, "failed", 5, 2_000_001), (1, "failed", 4, 3_000_007), (1, "failed", 4, 3_000_009), (2, "failed", 9, 1_000_000)]
     got = first_failures(spark.createDataFrame(rows, "run_id int, state string, second long, id long")).collect()
     assert sorted((r.run_id, r.id, r.repeats) for r in got) == [(1, 3_000_007, 2), (2, 1_000_000, 0)]
+
+
+def test_a_bucket_of_channels_reads_and_writes_its_state_once():
+    """Many channels in one bucket: each has its own cursor and posts, and state is called four times a batch."""
+    import numpy as np
+    import pandas as pd
+
+    from siltline.streaming.processors import KEPT_MS, PollStep
+
+    calls, clock = [], [0]
+
+    class Value:
+        now = None
+
+        def get(self):
+            calls.append("get")
+            return self.now
+
+        def update(self, value):
+            calls.append("update")
+            self.now = value
+
+    class Handle:
+        def getValueState(self, name, schema, ttlDurationMs=None):  # noqa: N802, N803
+            return Value()
+
+    class Timer:
+        def getCurrentProcessingTimeInMs(self):  # noqa: N802
+            return clock[0]
+
+    step = PollStep()
+    step.init(Handle())
+
+    def batch(poll):
+        rows = [(c, poll, np.array([7, 100 + c % 3 + poll]), False, 3600 * poll, 3600 * poll + c) for c in range(500)]
+        frame = pd.DataFrame(rows[::-1], columns=["channel", "poll", "ids", "blank", "oldest", "newest"])
+        calls.clear()
+        got = pd.concat(step.handleInputRows((1,), iter([frame[:200], frame[200:]]), Timer()))
+        assert sorted(calls) == ["get", "get", "update", "update"] and sorted(got["channel"]) == list(range(500))
+        return got
+
+    assert set(batch(1)["fresh"]) == {2} and set(batch(2)["fresh"]) == {1}  # post 7 is known
+    assert set(batch(75)["fresh"]) == {2} and set(batch(147)["fresh"]) == {1}  # for 72 polls
+    clock[0] = KEPT_MS + 1
+    assert set(batch(148)["fresh"]) == {2}  # not after a month without a poll
+    assert set(batch(149)["seen"] - batch(150)["seen"]) == {-3600}
+
+
+def test_posts_and_channels_without_numbers(spark):
+    from siltline.streaming.tables import arriving, settled
+
+    far = 2**60 + 1
+    rows = [(5, 1, [(None, 3600), (None, 3601), (far, 3602)]), (5, 2, [(None, 7200), (far + 1, 7201)]), (None, 1, [(far, 3600)]), (None, 2, [(far, 7200)]), (far, 2, [])]
+    df = spark.createDataFrame(rows, "channel long, poll long, posts array<struct<id:long,second:long>>")
+    with state_on_disk(spark, idle=False):
+        stream, arrivals = arriving(df, "poll", 2)
+        got = settled(polling.poll_steps(stream), ["channel", "poll"], arrivals=arrivals).collect()
+    assert {(r.channel, r.poll): (r.fresh, r.seen) for r in got} == {(5, 1): (2, 3602), (5, 2): (1, 7201), (None, 1): (1, 3600), (None, 2): (0, 7200), (far, 2): (0, None)}
